@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegraph.llm import classifier, decontamination, mixing, quality_rules, secrets, sharding, urls
+from rolegraph.llm import classifier, decontamination, mixing, quality_rules, secrets, sharding, substring_dedup, urls
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -45,12 +45,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.places(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).drop("mix_order")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_quality_classifier, op4_decontamination, op5_secret_scan, op7_quality_rules, op8_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op2_url_filter, op3_quality_classifier, op4_decontamination, op5_secret_scan, op7_quality_rules, op8_sharding, op9_substring_dedup, op10_mixing)}
 
 
 URL_SQL = r"""

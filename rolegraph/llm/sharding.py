@@ -12,15 +12,13 @@ from __future__ import annotations
 
 from math import isqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm._rows import numbered
+from rolegraph.llm._rows import durable, numbered
 
 P1, P2 = 2147483647, 2147483629
 ROUNDS = 4
-#: Steps of the cycle walk that are unrolled; what is still outside walks on exactly.
-STEPS = 3
 
 
 def round_keys(seed: int) -> list[int]:
@@ -51,39 +49,39 @@ def shard_of(number: int, rows: int, shards: int, seed: int = 7) -> tuple[int, i
             return value % shards, value // shards
 
 
-def permuted(number: Column, rows: int, seed: int = 7) -> Column:
-    """The image of ``number`` in [0, rows).
+def _step(df: DataFrame, value: str, side: int, seed: int) -> DataFrame:
+    """One application of the permutation to the column ``value``."""
+    v = F.col(value)
+    df = df.withColumns({"_l": ((v - v % side) / side).cast("long"), "_r": (v % side).cast("long")})
+    for key in round_keys(seed):
+        df = df.withColumn("_t", (F.col("_r") * key + key % 65521) % P1)
+        df = df.withColumn("_t", F.col("_t").bitwiseXOR(F.shiftright("_t", 13)) * 1103515245 % P2)
+        df = df.withColumns({"_l": F.col("_r"), "_r": (F.col("_l") + F.col("_t")) % side})
+    return df.withColumn(value, F.col("_l") * side + F.col("_r")).drop("_l", "_r", "_t")
 
-    At most 2 * side + 1 points of the square lie outside, so one step leaves a share of about 2 / side of the rows
-    outside, and ``STEPS`` steps next to none; an aggregate over as many steps as there are points outside ends any walk.
-    """
-    side = side_of(rows)
-    let = lambda value, f: F.transform(F.array(value), f)[0]
-
-    def once(v: Column) -> Column:
-        state = F.struct(((v - v % side) / side).cast("long").alias("l"), (v % side).cast("long").alias("r"))
-        for key in round_keys(seed):
 
-            def one(s: Column, key: int = key) -> Column:
-                t = (s["r"] * key + key % 65521) % P1
-                t = let(t, lambda x: x.bitwiseXOR(F.shiftright(x, 13)) * 1103515245 % P2)
-                return F.struct(s["r"].alias("l"), ((s["l"] + t) % side).alias("r"))
+def permuted(df: DataFrame, number: str, image: str, rows: int, seed: int = 7) -> DataFrame:
+    """Adds ``image``, the permuted ``number`` in [0, rows).
 
-            state = let(state, one)
-        return let(state, lambda s: s["l"] * side + s["r"])
-
-    value = once(number)
-    for _ in range(STEPS - 1):
-        value = let(value, lambda v: F.when(v < rows, v).otherwise(once(v)))
-    steps = F.sequence(F.lit(0), F.lit(max(side * side - rows, 0)))
-    return let(value, lambda v: F.when(v < rows, v).otherwise(F.aggregate(steps, v, lambda a, _: F.when(a < rows, a).otherwise(once(a)))))
+    At most 2 * side + 1 points of the square lie outside; where a walk from each of them comes back in is a table of that
+    many rows (10 MB at 10**11 rows), which is broadcast.
+    """
+    side = side_of(rows)
+    walks = df.sparkSession.range(rows, side * side).select(F.col("id").alias("_point"), F.col("id").alias("_walk"))
+    while True:
+        inside = walks.where(F.col("_walk") < rows)
+        walks = inside.unionByName(_step(walks.where(F.col("_walk") >= rows), "_walk", side, seed)) if inside.take(1) else _step(walks, "_walk", side, seed)
+        walks = durable(walks)
+        if not walks.where(F.col("_walk") >= rows).take(1):
+            break
+    out = _step(df.withColumn(image, F.col(number)), image, side, seed)
+    return out.join(F.broadcast(walks), F.col(image) == F.col("_point"), "left").withColumn(image, F.coalesce("_walk", image)).drop("_point", "_walk")
 
 
 def shard(df: DataFrame, order: list[str], shards: int = 16, seed: int = 7) -> DataFrame:
     """``df`` with ``row_number`` (by ``order``), ``shard`` and ``slot``; extra columns stay as they are."""
     rows = df.count()
-    image = permuted(F.col("row_number"), max(rows, 1), seed)
-    return numbered(df, order, "row_number").withColumn("_image", image).withColumns({"shard": (F.col("_image") % shards).cast("int"), "slot": F.floor(F.col("_image") / shards).cast("long")}).drop("_image")
+    return permuted(numbered(df, order, "row_number"), "row_number", "_image", max(rows, 1), seed).withColumns({"shard": (F.col("_image") % shards).cast("int"), "slot": F.floor(F.col("_image") / shards).cast("long")}).drop("_image")
 
 
 def places(docs: DataFrame, shards: int = 16, seed: int = 7, order: list[str] | None = None) -> DataFrame:
