@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegraph.llm import classifier, decontamination, mixing, quality_rules, secrets, sharding, substring_dedup, urls
+from rolegraph.llm import classifier, decontamination, jaccard_join, mixing, quality_rules, secrets, sharding, substring_dedup, urls
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, urls.rule_table(spark, URL_RULES)).drop("url")
@@ -54,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_quality_classifier, op4_decontamination, op5_secret_scan, op7_quality_rules, op8_sharding, op9_substring_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_secret_scan, op7_quality_rules, op8_sharding, op9_substring_dedup, op10_mixing)}
 
 
 URL_SQL = r"""
