@@ -106,26 +106,30 @@ def send(rule: str, buckets: int, code: np.ndarray, key: np.ndarray, row: np.nda
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
 
-def runs(pos: np.ndarray) -> np.ndarray:
-    """Sorted positions as start, end, start, end... of stretches without a gap."""
-    pos = np.unique(pos)
-    if not len(pos):
-        return pos.astype(np.uint32)
-    cut = np.flatnonzero(np.diff(pos.astype(np.int64)) > 1)
-    return np.stack([pos[np.concatenate([[0], cut + 1])], pos[np.concatenate([cut, [len(pos) - 1]])] + 1], axis=1).ravel().astype(np.uint32)
-
-
-def unrolled(blob: bytes | None) -> np.ndarray:
-    """Positions that ``runs`` holds."""
+def packed_places(pos: np.ndarray) -> bytes:
+    """Distinct positions as stretches (start, end), or as bits from the first on, whichever is shorter."""
+    pos = np.unique(pos).astype(np.int64)
+    cut = np.flatnonzero(np.diff(pos) > 1)
+    if 64 * (len(cut) + 1) <= pos[-1] - pos[0] + 40:
+        return b"s" + np.stack([pos[np.concatenate([[0], cut + 1])], pos[np.concatenate([cut, [len(pos) - 1]])] + 1], axis=1).astype(np.uint32).tobytes()
+    bits = np.zeros(pos[-1] - pos[0] + 1, bool)
+    bits[pos - pos[0]] = True
+    return b"b" + np.uint32(pos[0]).tobytes() + np.packbits(bits).tobytes()
+
+
+def places(blob: bytes | None) -> np.ndarray:
+    """The positions in what ``packed_places`` made."""
     if not blob:
         return np.zeros(0, np.int64)
-    pairs = np.frombuffer(blob, np.uint32).astype(np.int64).reshape(-1, 2)
+    if blob[:1] == b"b":
+        return np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=5))) + int(np.frombuffer(blob, np.uint32, 1, 1)[0])
+    pairs = np.frombuffer(blob, np.uint32, offset=1).astype(np.int64).reshape(-1, 2)
     size = pairs[:, 1] - pairs[:, 0]
     return np.repeat(pairs[:, 0] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
 
 
 def meet(packed: DataFrame, rule: str, buckets: int, short: bool = False) -> DataFrame:
-    """(key long, hits binary): the hits of each row as ``runs``, for rows that have any."""
+    """(key long, hits binary): the hits of each row, for rows that have any."""
     kinds = [np.int32 if short else np.uint64, np.uint64, *([np.int64] if rule == "earlier" else []), np.uint32]
 
     def one_bucket(table: pa.Table) -> pa.Table:
@@ -153,7 +157,7 @@ def meet(packed: DataFrame, rule: str, buckets: int, short: bool = False) -> Dat
         key, pos = key[o], pos[o]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         ends = np.concatenate([first[1:], [len(key)]])
-        return pa.table({"key": pa.array(key[first].view(np.int64), pa.int64()), "hits": pa.array([runs(pos[a:b]).tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
+        return pa.table({"key": pa.array(key[first].view(np.int64), pa.int64()), "hits": pa.array([packed_places(pos[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())})
 
     return packed.groupBy("bucket").applyInArrow(one_bucket, "grp int, payload binary").groupBy("grp").applyInArrow(one_group, "key long, hits binary")
 

@@ -20,6 +20,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def loose(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` without what Spark knows of its partitioning by these long columns: a join then exchanges both sides, and
+    adaptive execution can split the partition of a hot key."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0)) for k in keys})
+
+
 def numbered(df: DataFrame, order: list[str], number: str, within: str | None = None) -> DataFrame:
     """Adds ``number``: 0, 1, 2... by ``order``, or, with ``within``, by ``order`` in each value of that column.
 

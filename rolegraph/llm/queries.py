@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegraph.llm import classifier, decontamination, jaccard_join, mixing, quality_rules, secrets, sharding, substring_dedup, urls
+from rolegraph.llm import classifier, decontamination, jaccard_join, mixing, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, urls
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -40,6 +40,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -58,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_secret_scan, op7_quality_rules, op8_sharding, op9_substring_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_secret_scan, op6_suffix_dedup, op7_quality_rules, op8_sharding, op9_substring_dedup, op10_mixing)}
 
 
 URL_SQL = r"""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm._meet import PACKED, buckets_for, keyed, meet, send, unrolled
+from rolegraph.llm._meet import PACKED, buckets_for, keyed, meet, send, places
 from rolegraph.llm._text import prefix_codes, slices, span_codes, window_codes, words
 
 WINDOW = 50
@@ -67,7 +67,7 @@ def windows(docs: DataFrame, anchored: DataFrame, buckets: int) -> DataFrame:
             # a window is asked for if an anchor within it is shared
             mark = np.zeros(len(code) + 1, np.int64)
             for i, blob in enumerate(batch.column("hits").to_pylist()):
-                shared = unrolled(blob) + rows[i]
+                shared = places(blob) + rows[i]
                 np.add.at(mark, np.maximum(shared - PERIOD + 1, rows[i]), 1)
                 np.add.at(mark, shared + 1, -1)
             use = mark.cumsum()[at] > 0
@@ -93,7 +93,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
                 w = data[offs[i] : offs[i + 1]].tobytes().translate(_SPACES).split(b" ")
                 w = [x for x in w if x]
                 gone = np.zeros(len(w) + 1, np.int64)
-                hits = unrolled(blob)
+                hits = places(blob)
                 gone[hits] += 1
                 np.add.at(gone, hits + WINDOW, -1)
                 gone = gone.cumsum()[:-1] > 0

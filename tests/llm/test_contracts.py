@@ -34,6 +34,10 @@ def test_secrets(spark, rows):
     assert got(queries.op5_secret_scan(spark, SF), "n_assign", "n_access", "n_hex", "base_sha256") == {d: brute.secrets(t) for d, t in rows}
 
 
+def test_repeats(spark, rows):
+    assert got(queries.op6_suffix_dedup(spark, SF), "n_bytes", "n_removed", "n_spans", "kept_sha256") == {r[0]: r[1:] for r in brute.repeats(rows)}
+
+
 def test_quality_rules(spark, rows):
     assert got(queries.op7_quality_rules(spark, SF), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == {d: brute.rules(t) for d, t in rows}
 
