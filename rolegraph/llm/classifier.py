@@ -23,6 +23,8 @@ from rolegraph.llm._text import FOLD, lists, prefix_codes, slices, span_codes, w
 #: Hash buckets for words; bins of document shares follow them.
 BUCKETS, BINS = 1 << 18, 16
 N_FEATURES = BUCKETS + 5 * BINS
+#: Values of a present word and of a document's share: many words are there by chance, shares are few.
+WORD_VALUE, SHARE_VALUE = 1.0, 32.0
 #: Most labelled rows that a model is fitted on.
 FIT_ROWS = 12_000
 ALNUM = np.zeros(256, bool)
@@ -77,13 +79,14 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, steps: int = 200, rate: float = 0.05, ridge: float = 2e-3, rare: int = 3) -> Ordinal:
+def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, steps: int = 200, rate: float = 0.05, ridge: float = 10.0, rare: int = 20) -> Ordinal:
     """Full-batch Adam on the mean log-likelihood; features in fewer than ``rare`` rows keep weight 0."""
     n = len(grade)
     seen = np.bincount(feature, minlength=N_FEATURES)
     use = seen[feature] >= rare
     row, feature = row[use], feature[use]
     kept, feature = np.unique(feature, return_inverse=True)
+    value = np.where(kept < BUCKETS, WORD_VALUE, SHARE_VALUE)
     share = np.array([(np.sum(grade <= k) + 1) / (n + 2) for k in range(grades - 1)])
     base = np.log(share / (1 - share))
     # theta_0, then logs of the gaps, so that thresholds stay ordered
@@ -91,7 +94,7 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades:
     m, v = np.zeros_like(free), np.zeros_like(free)
     for t in range(1, steps + 1):
         w, theta = free[: len(kept)], np.concatenate([free[len(kept) : len(kept) + 1], np.exp(free[len(kept) + 1 :])]).cumsum()
-        s = np.bincount(row, w[feature], n)
+        s = np.bincount(row, (w * value)[feature], n)
         cut = np.concatenate([[-np.inf], theta, [np.inf]])
         sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         hi, lo = sig(cut[grade + 1] - s), sig(cut[grade] - s)
@@ -102,12 +105,12 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades:
         g_theta = np.array([(dhi[grade == k].sum() - dlo[grade == k + 1].sum()) / n for k in range(grades - 1)])
         g_s = -(dhi - dlo) / n
         after = g_theta[::-1].cumsum()[::-1]
-        grad = -np.concatenate([np.bincount(feature, g_s[row], len(kept)), after[:1], after[1:] * np.exp(free[len(kept) + 1 :])])
+        grad = -np.concatenate([np.bincount(feature, g_s[row], len(kept)) * value, after[:1], after[1:] * np.exp(free[len(kept) + 1 :])])
         grad[: len(kept)] += ridge * w / n
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         free = free - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(N_FEATURES, np.float64)
-    weights[kept] = free[: len(kept)]
+    weights[kept] = free[: len(kept)] * value
     return Ordinal(weights, np.concatenate([free[len(kept) : len(kept) + 1], np.exp(free[len(kept) + 1 :])]).cumsum())
 
 
@@ -154,6 +157,14 @@ def scored(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
     return docs.mapInArrow(run, f"{kinds}, expected_grade double, tail_probability double, kept boolean")
 
 
+def select_good(docs: DataFrame, model: Ordinal | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the model keeps, with their columns as they were; without a model, all."""
+    if model is None:
+        return docs
+    plain = {c: f"_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    return scored(docs.withColumnsRenamed(plain), model, least).where("kept").select(*[F.col(plain.get(c, c)).alias(c) for c in docs.columns])
+
+
 def grade_of() -> Column:
     """The grade that a row of ``labels`` gives."""
     return F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)

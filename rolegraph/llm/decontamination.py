@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._text import column_bytes
@@ -116,11 +116,18 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select(*docs.columns, F.col("n_words_0").alias("n_words"), some("hit_words", "int").alias("hit_words"), some("items", "string").alias("items"))
 
 
-def contaminated() -> object:
+def contaminated() -> Column:
     """The rule: some word is hit, and hits are a twentieth of the words or more."""
     return (F.size("hit_words") > 0) & (20 * F.size("hit_words") >= F.col("n_words"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns as they were."""
+    plain = {c: f"_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    found = scan(docs.withColumnsRenamed(plain), benchmark).where(~contaminated())
+    return found.select(*[F.col(plain.get(c, c)).alias(c) for c in docs.columns])
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of the query."""
     found = scan(docs.select("doc_id", "text"), benchmark)

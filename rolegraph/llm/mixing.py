@@ -69,3 +69,9 @@ def mix(df: DataFrame, weights: dict[str | None, int], source: str = "source", k
     placed = placed.join(F.broadcast(table), (F.col("p_phase") == F.col("s_phase")) & (F.col("_which") == F.col("s_which")) & (F.col("_in") == F.col("s_block")))
     order = F.struct("cycle", F.col("s_slot").alias("slot"), (F.col("_row") % block).cast("int").alias("row"))
     return placed.select(F.col("_key").alias(key), F.col("_source").alias(source), "block", "cycle", F.col("s_slot").alias("slot"), F.col("s_release").alias("release"), F.col("s_deadline").alias("deadline"), (F.col("_row") % block).cast("int").alias("row_in_block"), order.alias("mix_order"))
+
+
+def mixed(df: DataFrame, weights: dict[str | None, int], source: str = "source", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """All rows of ``df``, sorted as they are to be read; written files keep this order in their names and rows."""
+    place = mix(df, weights, source, key, block).groupBy(F.col(key).alias("_placed")).agg(F.min("mix_order").alias("_order"))
+    return df.join(place, F.col(key).eqNullSafe(F.col("_placed"))).orderBy("_order", key).select(*df.columns)
