@@ -11,6 +11,7 @@ none.  Repeated documents get a row each.  The automaton is built once in a Pyth
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,7 +26,8 @@ WINDOW = 13
 MOST_PATTERN_BYTES = 8 << 20
 #: Bytes of words keep their (folded) value, all others become a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_built: dict[int, ahocorasick.Automaton] = {}
+#: The last automaton of this worker, by a digest of its patterns.
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
 def normal(text: bytes) -> list[bytes]:
@@ -43,15 +45,15 @@ def windows(items: list[tuple[object, str | None]], size: int = WINDOW) -> dict[
     return {p: (n, sorted(ids)) for p, (n, ids) in out.items()}
 
 
-def _automaton(number: int, patterns: list[tuple[str, int, list[str]]]) -> ahocorasick.Automaton:
-    if number not in _built:
+def _automaton(name: str, patterns: list[tuple[str, int, list[str]]]) -> ahocorasick.Automaton:
+    if name not in _built:
         _built.clear()
         a = ahocorasick.Automaton()
         for p, n, ids in patterns:
             a.add_word(p, (n, ids))
         a.make_automaton()
-        _built[number] = a
-    return _built[number]
+        _built[name] = a
+    return _built[name]
 
 
 def _rounds(benchmark: DataFrame) -> list[list[tuple[str, int, list[str]]]]:
@@ -78,10 +80,10 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs
     for k, patterns in enumerate(_rounds(benchmark)):
-        shared = sc.broadcast(patterns)
+        shared, name = sc.broadcast(patterns), hashlib.sha256(repr(patterns).encode()).hexdigest()
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            a = _automaton(shared.id if hasattr(shared, "id") else id(shared), shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            a = _automaton(name, shared.value)
             for batch in batches:
                 data, offs = column_bytes(batch.column("text"))
                 counts, hits, items = [], [], []
