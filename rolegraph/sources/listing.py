@@ -12,7 +12,7 @@ AUDIO = ("flac", "mp3", "m4a", "m4b", "mp4", "aac", "ogg", "oga", "opus", "spx",
 IMAGES = ("jpg", "jpeg", "png", "webp", "gif", "bmp")
 COVERS = ("cover", "folder", "front", "album", "artwork", "albumart")
 REPORT = "format string, version int, report struct<root:string,files:array<struct<path:string,file_name:string,size_bytes:bigint,modified_unix:bigint,ext_mismatch:boolean,detections:struct<upscaling:boolean,upsampling:boolean,transcoding:string,summary:string,detail:string>,cutoff_hz:double,cutoff_ratio:double,real_bit_depth:int,requant_rate:double,fake_stereo:boolean,clipping:struct<clipped_samples:bigint,clip_events:bigint,peak_dbfs:double,true_peak_dbtp:double,clipped:boolean>,dr_db:double,flac_md5:struct<state:string,detail:string>,error:string>>>"
-REPORT_FORMAT, REPORT_VERSION = "flaccompagnon-report", 1
+REPORT_VERSION = 1
 
 
 def extension(path: Column) -> Column:
@@ -58,10 +58,11 @@ def in_scope(files: DataFrame, places: list[str]) -> DataFrame:
     return files.where(any_of)
 
 
-def reports(spark: SparkSession, paths: list[str], source: str = "report") -> DataFrame:
-    """Records of measurement reports, flat, later files last in ``seq``; a foreign or newer report is an error."""
+def reports(spark: SparkSession, paths: list[str], report_format: str, source: str = "report") -> DataFrame:
+    """Records of measurement reports that announce ``report_format``, flat, later files last in ``seq``; a foreign or newer
+    report is an error."""
     read = spark.read.schema(REPORT).option("multiLine", True).option("recursiveFileLookup", True).json(paths).withColumn("_file", F.col("_metadata.file_path"))
-    wrong = F.coalesce(F.col("format") != REPORT_FORMAT, F.lit(True)) | F.coalesce(F.col("version") > REPORT_VERSION, F.lit(True))
+    wrong = F.coalesce(F.col("format") != report_format, F.lit(True)) | F.coalesce(F.col("version") > REPORT_VERSION, F.lit(True))
     checked = read.withColumn("report", F.when(wrong, F.raise_error(F.concat(F.col("_file"), F.lit(" is not a report this version reads")))).otherwise(F.col("report")))
     f = checked.select("_file", F.posexplode("report.files").alias("_at", "f")).where("f.path is not null")
     return f.select(
