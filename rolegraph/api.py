@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.functions.text import normalize
+from rolegraph.functions.text import normalize, search_score
 from rolegraph.operators import graph, lookups
 from rolegraph.operators.lookups import Page
 from rolegraph.plans import doctor, export, stats
 from rolegraph.plans.catalog import Catalog
+from rolegraph.sources.listing import in_scope
 
 
 class Library:
@@ -81,6 +82,47 @@ class Library:
         of = lambda x: plays.where(F.col("artist_key") == normalize(F.lit(x))).select("path")
         return of(a).intersect(of(b))
 
+    def artist(self, name: str) -> dict[str, DataFrame]:
+        """Releases of an artist: own, as a guest, and written without playing; roles and neighbours.  A name that no artist
+        has is looked up by search, if the best hit is an artist."""
+        c = self.catalog
+        found = c.artist.where(F.col("key") == normalize(F.lit(name))).select("key")
+        if found.isEmpty():
+            best = self.search(name, 1).where("kind = 'artist'").select(F.col("id").alias("key"))
+            if best.isEmpty():
+                raise ValueError(f"no artist like {name!r}")
+            found = best
+        mine = c.credit.join(F.broadcast(found), F.col("artist_key") == F.col("key"), "left_semi")
+        of = c.file.select(F.col("path").alias("entity_key"), "release_key")
+        seen = mine.join(of, "entity_key", "left").select("role", F.when(F.col("entity_kind") == "release", F.col("entity_key")).otherwise(F.col("release_key")).alias("release_key")).where("release_key is not null")
+        own = c.release.join(F.broadcast(found), F.col("owner_key") == found["key"], "left_semi").select("release_key")
+        plays = seen.where(F.col("role").isin(*graph.PERFORMING)).select("release_key")
+        writes = seen.where(~F.col("role").isin(*graph.PERFORMING))
+        titled = lambda df: df.distinct().join(c.release.select("release_key", "title", "year"), "release_key").orderBy(F.asc_nulls_last("year"), "title", "release_key")
+        return {
+            "own": titled(own), "guest": titled(graph.without(plays, own, ["release_key"])), "written": titled(graph.without(writes, plays.unionByName(own), ["release_key"])),
+            "roles": graph.role_counts(mine, ["role"]).orderBy(F.desc("credits"), "role"), "played_with": self.played_with(name),
+        }
+
+    def facet(self, kind: str, name: str) -> DataFrame:
+        """Releases of all genres or labels like ``name``."""
+        return self.albums(**{kind: name}, page=Page(None))
+
+    def years(self) -> DataFrame:
+        per = self.catalog.file.groupBy("release_key").agg(F.count("*").alias("tracks"), F.sum("duration_ms").alias("duration_ms"), F.sum("size").alias("bytes"))
+        dated = self.catalog.release.where("year is not null").select("release_key", "year").join(per, "release_key")
+        return dated.groupBy("year").agg(F.count("*").alias("albums"), F.sum("tracks").alias("tracks"), F.sum("duration_ms").alias("duration_ms"), F.sum("bytes").alias("bytes")).orderBy("year")
+
+    def integrity(self, places: list[str] | None = None) -> DataFrame:
+        """Files in each state under the places."""
+        state = F.coalesce("integrity.state", F.lit("not_verified"))
+        return in_scope(self.catalog.file, places or []).groupBy(state.alias("state")).agg(F.count("*").alias("files")).orderBy("state")
+
+    def unverified(self, places: list[str] | None = None, full: bool = False) -> DataFrame:
+        """Paths that an integrity check has to read."""
+        files = in_scope(self.catalog.file, places or [])
+        return (files if full else files.where("integrity is null")).select("path").orderBy("path")
+
     def search(self, text: str, limit: int = 30) -> DataFrame:
         c, out = self.catalog, None
         tables = [("artist", c.artist, "key"), ("release", c.release, "release_key"), ("track", c.file, "path"), ("label", c.label, "key")]
@@ -88,8 +130,6 @@ class Library:
             name = F.col("title") if kind in ("release", "track") else F.col("name")
             one = df.select(F.lit(rank).alias("_rank"), F.lit(kind).alias("kind"), F.col(key).alias("id"), name.alias("name"))
             out = one if out is None else out.unionByName(one)
-        from rolegraph.functions.text import search_score
-
         hits = out.withColumn("score", search_score(normalize(F.col("name")), normalize(F.lit(text)))).where("score is not null")
         return hits.orderBy("score", "_rank", F.octet_length("name"), "name", "id").limit(limit).drop("_rank")
 

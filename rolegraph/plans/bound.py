@@ -506,3 +506,42 @@ def selection_totals(spark, sf_dir):
 def credits_by_role(spark, sf_dir):
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("artist_id"), "s_name")
     return credits(spark, sf_dir).join(names, "artist_id").groupBy("track_id", "role").agg(F.array_join(F.sort_array(F.collect_set("s_name")), ", ").alias("names"))
+
+
+@query("""WITH s AS (SELECT CASE l_returnflag WHEN 'A' THEN 'nothing_to_check' WHEN 'N' THEN 'intact' ELSE CASE WHEN l_linenumber > 5 THEN 'damaged' ELSE 'not_verified' END END AS state FROM lineitem) SELECT state, count(*) AS files FROM s GROUP BY 1""")
+def integrity_counts(spark, sf_dir):
+    state = F.when(F.col("codec") == "A", "nothing_to_check").when(F.col("codec") == "N", "intact").when(F.col("line") > 5, "damaged").otherwise("not_verified")
+    return files(spark, sf_dir).groupBy(state.alias("state")).agg(F.count("*").alias("files"))
+
+
+@query(r"""WITH r AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]*)', 1) AS root FROM pages WHERE page_id % 3 <> 0), p AS (SELECT page_id, length(html) AS size, regexp_extract(url, '^(https?://[^/]*)', 1) AS root FROM pages)
+  SELECT coalesce(r.root, '(no longer watched)') AS root, count(*) AS pages, CAST(sum(size) AS BIGINT) AS bytes FROM p LEFT JOIN r USING (root) GROUP BY 1""")
+def roots_listing(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.length("html").alias("size"), F.regexp_extract("url", "^(https?://[^/]*)", 1).alias("root"))
+    watched = pages.where("page_id % 3 <> 0").select(F.col("root").alias("watched")).distinct()
+    return pages.join(watched, F.col("root") == F.col("watched"), "left").groupBy(F.coalesce("watched", F.lit("(no longer watched)")).alias("root")).agg(F.count("*").alias("pages"), F.sum("size").alias("bytes"))
+
+
+@query(f"WITH {CREDITS} SELECT o_custkey AS release_id, array_to_string(list_sort(list(DISTINCT p_type)), ', ') AS genres, count(DISTINCT p_type) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def genres_of_release(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), F.col("p_type").alias("genre"))
+    joined = files(spark, sf_dir).join(part, "part_id").join(tracks(spark, sf_dir), "track_id").select("release_id", "genre").distinct()
+    return joined.groupBy("release_id").agg(F.array_join(F.sort_array(F.collect_list("genre")), ", ").alias("genres"), F.count("*").alias("n"))
+
+
+@query(f"WITH {CREDITS}, {FILES}, k AS (SELECT artist_id, track_id, bool_or(role <> 'composer') AS plays FROM credits GROUP BY 1, 2) SELECT artist_id, CAST(count_if(plays) AS BIGINT) AS performed, CAST(count_if(NOT plays) AS BIGINT) AS only_written FROM k GROUP BY 1")
+def page_measures(spark, sf_dir):
+    each = credits(spark, sf_dir).groupBy("artist_id", "track_id").agg(F.bool_or(PLAYS).alias("plays"))
+    return each.groupBy("artist_id").agg(F.count_if("plays").alias("performed"), F.count_if(~F.col("plays")).alias("only_written"))
+
+
+@query("SELECT count(*) AS files, count(DISTINCT page_id) AS ids, min(page_id) AS least, max(page_id) AS most, CAST(min(page_id) = 0 AND max(page_id) = count(*) - 1 AND count(DISTINCT page_id) = count(*) AS BOOLEAN) AS whole FROM pages")
+def invariants(spark, sf_dir):
+    n = F.count("*")
+    return table(spark, sf_dir, "pages").agg(n.alias("files"), F.countDistinct("page_id").alias("ids"), F.min("page_id").alias("least"), F.max("page_id").alias("most"), ((F.min("page_id") == 0) & (F.max("page_id") == n - 1) & (F.countDistinct("page_id") == n)).alias("whole"))
+
+
+@query(f"WITH {_GAPS}, x AS (SELECT 'warning' AS severity, 'incomplete' AS kind FROM m WHERE len(missing) > 0 UNION ALL SELECT 'warning', 'mixed quality' FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1) SELECT severity, kind, count(*) AS count FROM x GROUP BY 1, 2")
+def issue_counts(spark, sf_dir):
+    issues = issues_union(spark, sf_dir)
+    return issues.groupBy(F.lit("warning").alias("severity"), "kind").agg(F.count("*").alias("count"))
