@@ -5,31 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm._rows import durable
+from rolegraph.llm._rows import durable, loose
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a long, b long); the root is the smallest node of the component.
 
-    Each round points every node to its smallest neighbour, follows the pointer once more, and maps both ends of each edge
-    along; the smallest node of a component always points to itself, so it is what remains.  Neighbours are only ever
-    reduced to their minimum, so a node with a third of all edges is no burden.
+    Each round points every node to the smallest of itself and its neighbours and maps both ends of each edge along, until no
+    edge is left; the smallest node of a component always points to itself, so it is what remains.  Neighbours are only ever
+    reduced to their minimum, so a node with a third of all edges is no burden.  Edges shrink by half or more in a round.
     """
     a, b = F.least("a", "b"), F.greatest("a", "b")
     left = durable(edges.where("a is not null and b is not null").select(a.alias("a"), b.alias("b")).where("a <> b").distinct())
-    roots = None
+    points = []
     while True:
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        point = durable(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("root")))
-        hop = point.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        point = durable(point.join(hop, "root", "left").select("node", F.coalesce("_next", "root").alias("root")))
-        if roots is None:
-            roots = point
-        else:
-            step = point.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-            roots = durable(roots.join(step, "root", "left").select("node", F.coalesce("_next", "root").alias("root")))
-        ends = [point.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
+        end = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to"))))
+        point = durable(left.select(end.alias("e")).groupBy("e.node").agg(F.min("e.to").alias("root")))
+        points.append(point)
+        ends = [loose(point.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c) for c in ("a", "b")]
         moved = left.join(ends[0], "a").join(ends[1], "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
         left = durable(moved.where("a <> b").distinct())
         if not left.take(1):
-            return roots
+            break
+    roots = points[0]
+    for point in points[1:]:
+        step = point.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+        roots = roots.join(step, "root", "left").select("node", F.coalesce("_next", "root").alias("root"))
+    return durable(roots)

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import gc
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers find this library where only the driver's path was set; a cluster gets it with ``--py-files``."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, one is set."""
     sc = spark.sparkContext
@@ -25,6 +33,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files of what is already frozen, before the next step needs the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def loose(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` without what Spark knows of its partitioning by these long columns: a join then exchanges both sides, and
     adaptive execution can split the partition of a hot key."""

@@ -164,3 +164,24 @@ def test_stages_on_odd_tables(spark, odd, none, tmp_path):
             if k < 4:
                 assert out.columns == docs.columns
             assert out.count() <= docs.count()
+
+
+def test_components(spark):
+    from rolegraph.llm._graph import components
+
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in r.sample(range(300), 150)] + [(1000, 1000 + i) for i in range(60)] + [(5, 5)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {row["node"]: row["root"] for row in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
