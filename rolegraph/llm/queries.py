@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegraph.llm import classifier, decontamination, jaccard_join, mixing, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, urls
+from rolegraph.llm import classifier, decontamination, jaccard_join, mixing, oracles, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, urls
+from rolegraph.llm._rows import ship
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -15,6 +16,7 @@ WEIGHTS: dict[str | None, int] = {"src0": 10, "src1": 4, "src2": 4, "src3": 4, "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,21 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_jaccard_join, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_secret_scan, op6_suffix_dedup, op7_quality_rules, op8_sharding, op9_substring_dedup, op10_mixing)}
 
 
-URL_SQL = r"""
-WITH parts AS (
-  SELECT page_id,
-         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages),
-fits AS (
-  SELECT *, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-                 WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM parts)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM fits
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": URL_SQL}
+    limits = {name: limit for name, _, _, limit in quality_rules.RULES}
+    return {
+        "op1_jaccard_join": oracles.JACCARD, "op2_url_filter": oracles.URLS, "op4_decontamination": oracles.CONTAMINATION,
+        "op7_quality_rules": oracles.rules(quality_rules.STOP_WORDS, limits), "op9_substring_dedup": oracles.PASSAGES,
+    }
