@@ -85,7 +85,8 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades:
     seen = np.bincount(feature, minlength=N_FEATURES)
     use = seen[feature] >= rare
     row, feature = row[use], feature[use]
-    kept, feature = np.unique(feature, return_inverse=True)
+    kept = np.unique(feature)
+    feature = np.searchsorted(kept, feature).astype(np.int32)
     value = np.where(kept < BUCKETS, WORD_VALUE, SHARE_VALUE)
     share = np.array([(np.sum(grade <= k) + 1) / (n + 2) for k in range(grades - 1)])
     base = np.log(share / (1 - share))
@@ -130,8 +131,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = 3, bou
         return None
     got = got.combine_chunks()
     feats = got.column("features").combine_chunks()
-    flat, size = feats.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(feats.offsets.to_numpy())
-    return fit_ordinal(np.repeat(np.arange(len(size)), size), flat, got.column("grade").to_numpy(), grades)
+    flat, size, given = feats.flatten().to_numpy(zero_copy_only=False), np.diff(feats.offsets.to_numpy()), got.column("grade").to_numpy()
+    del got, feats
+    return fit_ordinal(np.repeat(np.arange(len(size), dtype=np.int32), size), flat, given, grades)
 
 
 def score(docs: DataFrame, model: Ordinal | None, least: float = 0.5) -> DataFrame:
