@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._meet import PACKED, buckets_for, keyed, meet, send, places
+from rolegraph.llm._rows import durable, reclaim
 from rolegraph.llm._text import prefix_codes, slices, span_codes, window_codes, words
 
 WINDOW = 50
@@ -84,7 +85,10 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): kept words are joined by one space."""
     docs = keyed(docs)
     buckets = buckets_for(docs)
-    found = windows(docs, anchors(docs, buckets), buckets)
+    anchored = durable(anchors(docs, buckets))
+    reclaim(docs.sparkSession)
+    found = durable(windows(docs, anchored, buckets))
+    reclaim(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches):
