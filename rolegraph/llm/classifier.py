@@ -79,13 +79,10 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, steps: int = 200, rate: float = 0.05, ridge: float = 10.0, rare: int = 20) -> Ordinal:
-    """Full-batch Adam on the mean log-likelihood; features in fewer than ``rare`` rows keep weight 0."""
+def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, steps: int = 200, rate: float = 0.05, ridge: float = 1.0) -> Ordinal:
+    """Full-batch Adam on the mean log-likelihood; every feature of the rows is fitted, however rare: ridge alone holds it back."""
     n = len(grade)
-    seen = np.bincount(feature, minlength=N_FEATURES)
-    use = seen[feature] >= rare
-    row, feature = row[use], feature[use]
-    kept = np.unique(feature)
+    kept = np.flatnonzero(np.bincount(feature, minlength=N_FEATURES))
     feature = np.searchsorted(kept, feature).astype(np.int32)
     value = np.where(kept < BUCKETS, WORD_VALUE, SHARE_VALUE)
     share = np.array([(np.sum(grade <= k) + 1) / (n + 2) for k in range(grades - 1)])
