@@ -5,15 +5,21 @@ Each source is cut into blocks.  In a cycle of W = sum of integer weights slots
 blocks fills every slot in time, so at any slot each source is within one block of its share, and cycles repeat.
 
 When a source runs out, the rest go on from the next cycle with their own weights.  No row is dropped or repeated.  Sources
-without a weight, null included, share the weight of ``None``.  Rows are ordered in a source by hashed key, then key.  The
-schedule is a table of at most (sources + 1) * W rows, W and sources being parameters; per-source row counts are all that
-reaches the driver.  An empty table gives no rows; rows alike follow each other.
+without a weight, null included, share the weight v of ``None`` equally: each has blocks of its own, and the n of them that
+still hold rows take the v slots of a cycle in turn.  That gives each the weight v / n: block k of such a source, counted from
+where turns began, is released at floor(k * n * W / v) and due by ceil((k + 1) * n * W / v).  A turn is off by at most
+1 - 1 / n blocks and the slots of all n together by less than one, so each of the n is off by less than one block too.  Slots
+and windows count from the start of the cycle, so a window of a weight under 1 may begin before 0.
+
+Rows are ordered in a source by hashed key, then key.  The schedule is a table of at most (named sources + 1) * W rows, all
+parameters; row counts of sources are all that reaches the driver, and tables of one row a source are broadcast.  An empty table gives no rows; rows alike follow each other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rolegraph.llm._rows import numbered
 
@@ -45,30 +51,61 @@ def plan(blocks: dict[int, int], weights: dict[int, int]) -> list[tuple[int, int
     return out
 
 
+def turns_of(held: list[tuple[object, int, int]], rest: int) -> tuple[list[tuple[object, int]], list[tuple[int, int, int, int, int]], dict[int, int]]:
+    """(source, rank), (class, first block, last block, place of the first round, sources in a round), and blocks of a class.
+
+    ``held`` has (source, class, blocks); a class is a named source or ``rest``.  Sources of ``rest`` take turns by falling
+    number of blocks, so those that are left always have the first ranks, and rounds change only where a source ends.
+    """
+    ranks = [(s, 0) for s, w, _ in held if w != rest]
+    turns = [(w, 0, n - 1, 0, 1) for _, w, n in held if w != rest]
+    counts = {w: n for _, w, n in held if w != rest}
+    others = sorted(((n, s) for s, w, n in held if w == rest), key=lambda x: (-x[0], x[1] is not None, x[1] if x[1] is not None else ""))
+    ranks += [(s, k) for k, (_, s) in enumerate(others)]
+    first = base = 0
+    for live in range(len(others), 0, -1):
+        end = others[live - 1][0]
+        if end > first:
+            turns.append((rest, first, end - 1, base, live))
+            base += (end - first) * live
+            first = end
+    if others:
+        counts[rest] = base
+    return ranks, turns, counts
+
+
 def mix(df: DataFrame, weights: dict[str | None, int], source: str = "source", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """(key, source, block, cycle, slot, release, deadline, mix_order); ``mix_order`` sorts rows as they are to be read."""
     spark = df.sparkSession
-    names = sorted(weights, key=lambda x: (x is None, x or ""))
     if None not in weights:
-        names, weights = [*names, None], {**weights, None: 1}
-    known = [n for n in names if n is not None]
+        weights = {**weights, None: 1}
+    known = sorted(n for n in weights if n is not None)
     which = F.coalesce(*[F.when(F.col(source) == n, F.lit(i)) for i, n in enumerate(known)], F.lit(len(known))) if known else F.lit(0)
     rows = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), which.alias("_which"), F.xxhash64(key).alias("_hash"))
-    rows = numbered(rows, ["_hash", "_key", "_source"], "_row", within="_which").withColumn("block", F.floor(F.col("_row") / block).cast("long"))
-    counts = {r["_which"]: -(-r["n"] // block) for r in rows.groupBy("_which").agg(F.count("*").alias("n")).collect()}  # a row for each weight
+    rows = numbered(rows, ["_hash", "_key"], "_row", within="_source").withColumn("block", F.floor(F.col("_row") / block).cast("long"))
+    held = [(r["_source"], r["_which"], -(-r["n"] // block)) for r in rows.groupBy("_source", "_which").agg(F.count("*").alias("n")).collect()]  # a row for each source
+    ranks, turns, counts = turns_of(held, len(known))
     phases = plan(counts, {i: weights[n] for i, n in enumerate([*known, None])})
-    slots = []
+    slots, totals = [], {}
     for number in sorted({p[5] for p in phases}):
         live = {p[0]: p[3] for p in phases if p[5] == number}
-        total = sum(live.values())
-        slots += [(number, s, k, slot, k * total // live[s], -(-(k + 1) * total // live[s])) for slot, (s, k) in enumerate(edf_cycle(live))]
-    spans = spark.createDataFrame(phases, "p_which int, p_first long, p_last long, p_weight int, p_cycle long, p_phase int")
-    table = spark.createDataFrame(slots, "s_phase int, s_which int, s_block int, s_slot int, s_release int, s_deadline int")
-    placed = rows.join(F.broadcast(spans), (F.col("_which") == F.col("p_which")) & F.col("block").between(F.col("p_first"), F.col("p_last")))
-    placed = placed.withColumns({"_in": ((F.col("block") - F.col("p_first")) % F.col("p_weight")).cast("int"), "cycle": F.col("p_cycle") + F.floor((F.col("block") - F.col("p_first")) / F.col("p_weight")).cast("long")})
+        totals[number] = sum(live.values())
+        slots += [(number, s, k, slot) for slot, (s, k) in enumerate(edf_cycle(live))]
+    rank = spark.createDataFrame(ranks, StructType([StructField("r_source", df.schema[source].dataType), StructField("r_rank", LongType())]))
+    turn = spark.createDataFrame(turns, "t_which int, t_first long, t_last long, t_base long, t_live long")
+    spans = spark.createDataFrame([(*p, totals[p[5]]) for p in phases], "p_which int, p_first long, p_last long, p_weight int, p_cycle long, p_phase int, p_total long")
+    table = spark.createDataFrame(slots, "s_phase int, s_which int, s_block int, s_slot int")
+    placed = rows.join(F.broadcast(rank), F.col("_source").eqNullSafe(F.col("r_source")))
+    placed = placed.join(F.broadcast(turn), (F.col("_which") == F.col("t_which")) & F.col("block").between(F.col("t_first"), F.col("t_last")))
+    placed = placed.withColumn("_place", F.col("t_base") + (F.col("block") - F.col("t_first")) * F.col("t_live") + F.col("r_rank"))
+    placed = placed.join(F.broadcast(spans), (F.col("_which") == F.col("p_which")) & F.col("_place").between(F.col("p_first"), F.col("p_last")))
+    placed = placed.withColumns({"_in": ((F.col("_place") - F.col("p_first")) % F.col("p_weight")).cast("int"), "cycle": F.col("p_cycle") + F.floor((F.col("_place") - F.col("p_first")) / F.col("p_weight")).cast("long")})
     placed = placed.join(F.broadcast(table), (F.col("p_phase") == F.col("s_phase")) & (F.col("_which") == F.col("s_which")) & (F.col("_in") == F.col("s_block")))
+    turn_start = F.col("_in") - F.col("r_rank")
+    release = F.floor(turn_start * F.col("p_total") / F.col("p_weight")).cast("int").alias("release")
+    deadline = F.ceil((turn_start + F.col("t_live")) * F.col("p_total") / F.col("p_weight")).cast("int").alias("deadline")
     order = F.struct("cycle", F.col("s_slot").alias("slot"), (F.col("_row") % block).cast("int").alias("row"))
-    return placed.select(F.col("_key").alias(key), F.col("_source").alias(source), "block", "cycle", F.col("s_slot").alias("slot"), F.col("s_release").alias("release"), F.col("s_deadline").alias("deadline"), (F.col("_row") % block).cast("int").alias("row_in_block"), order.alias("mix_order"))
+    return placed.select(F.col("_key").alias(key), F.col("_source").alias(source), "block", "cycle", F.col("s_slot").alias("slot"), release, deadline, (F.col("_row") % block).cast("int").alias("row_in_block"), order.alias("mix_order"))
 
 
 def mixed(df: DataFrame, weights: dict[str | None, int], source: str = "source", key: str = "doc_id", block: int = BLOCK) -> DataFrame:

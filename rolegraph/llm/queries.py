@@ -11,7 +11,7 @@ from rolegraph.llm._rows import ship
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Target weights of sources; None is the share of all others together.
+#: Target weights of sources; None is the share of all others, in equal parts.
 WEIGHTS: dict[str | None, int] = {"src0": 10, "src1": 4, "src2": 4, "src3": 4, "src4": 3, "src5": 3, None: 32}
 
 

@@ -1,9 +1,12 @@
 """Cases that once were cut away: rare words, sources without a name in the weights, rows without an id."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from rolegraph.llm import classifier
+from rolegraph.llm import classifier, mixing
+from rolegraph.llm.queries import WEIGHTS
 
 INSULTS = ["trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"]
 
@@ -39,3 +42,29 @@ def test_toxic_recall_on_rows_left_out(spark, sf, caught, lost):
     toxic, clean = out["toxic"] == 1, (out["quality"] == 1) & (out["toxic"] == 0)
     assert (~out["kept"])[toxic].mean() > caught
     assert (~out["kept"])[clean].mean() < lost
+
+
+def test_each_source_keeps_its_share(spark):
+    """Fourteen sources outside the named six, null and a hot one among them."""
+    sizes = {f"src{i}": 150 for i in range(6)} | {f"other{i}": 30 for i in range(12)} | {None: 30, "hot": 700}
+    rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), WEIGHTS, block=2).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(k for k, _ in rows)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    blocks = {}
+    for r in out:
+        blocks.setdefault((r["cycle"], r["slot"]), set()).add((r["source"], r["block"]))
+    assert all(len(b) == 1 for b in blocks.values())
+    total, others = sum(WEIGHTS.values()), len(sizes) - 6
+    share = {s: WEIGHTS[s] / total if s in WEIGHTS and s is not None else WEIGHTS[None] / others / total for s in sizes}
+    seen = Counter()
+    for t in range(1, 5 * total + 1):  # all sources hold rows so far
+        ((source, block),) = blocks[divmod(t - 1, total)]
+        assert block == seen[source]
+        seen[source] += 1
+        assert all(abs(seen[s] - t * w) < 1 for s, w in share.items())
+    for r in out:
+        if r["source"] == "other3" and r["cycle"] < 5:
+            start = r["cycle"] * total
+            k, n, v = r["block"], others, WEIGHTS[None]
+            assert (start + r["release"], start + r["deadline"]) == (k * n * total // v, -(-(k + 1) * n * total // v))
