@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rolegraph.llm import classifier, mixing
+from rolegraph.llm import classifier, jaccard_join, mixing
 from rolegraph.llm.queries import WEIGHTS
 
 INSULTS = ["trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"]
@@ -68,3 +68,19 @@ def test_each_source_keeps_its_share(spark):
             start = r["cycle"] * total
             k, n, v = r["block"], others, WEIGHTS[None]
             assert (start + r["release"], start + r["deadline"]) == (k * n * total // v, -(-(k + 1) * n * total // v))
+
+
+def test_one_row_of_each_component(spark):
+    """Null ids, repeated ids and texts without words."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = lambda t: t + " more"
+    rows = [
+        (1, a), (None, near(a)),  # a copy without an id goes
+        (None, b), (None, near(b)), (None, b),  # one of a group without ids stays
+        (None, "alone with no other at all"), (2, c), (2, near(c)),  # two texts of one id
+        (3, None), (3, None), (4, ""), (4, ""), (None, None), (None, None),  # linked with nothing
+        (5, d), (5, d), (6, d), (6, "something else entirely here now"),
+    ]
+    stay = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["text"] if not r["text"] else r["text"].split()[0]) for r in stay.collect())
+    assert got == {(1, "a0"): 1, (None, "b0"): 1, (None, "alone"): 1, (2, "c0"): 1, (3, None): 2, (4, ""): 2, (None, None): 2, (5, "d0"): 1, (6, "something"): 1}
