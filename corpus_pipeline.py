@@ -36,10 +36,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: row numbers follow the files; where rows come from no files, they follow doc_id."""
     try:
-        docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        return sharding.places(docs, order=["_file", "_row"])
-    except AnalysisException:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        placed.schema  # noqa: B018  resolves the columns, and nothing else
+    except AnalysisException as error:
+        if "UNRESOLVED_COLUMN" not in (error.getCondition() or ""):
+            raise
         return sharding.places(docs)
+    return sharding.places(placed, order=["_file", "_row"])
 
 
 STAGES = [

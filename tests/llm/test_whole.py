@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 
-from rolegraph.llm import classifier, jaccard_join, mixing
+import corpus_pipeline
+from rolegraph.llm import classifier, jaccard_join, mixing, sharding
 from rolegraph.llm.queries import WEIGHTS
 
 INSULTS = ["trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"]
@@ -84,3 +86,20 @@ def test_one_row_of_each_component(spark):
     stay = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     got = Counter((r["doc_id"], r["text"] if not r["text"] else r["text"].split()[0]) for r in stay.collect())
     assert got == {(1, "a0"): 1, (None, "b0"): 1, (None, "alone"): 1, (2, "c0"): 1, (3, None): 2, (4, ""): 2, (None, None): 2, (5, "d0"): 1, (6, "something"): 1}
+
+
+def test_errors_of_sharding_are_not_hidden(spark, tmp_path, monkeypatch):
+    """Only a table from no files is numbered by doc_id; errors inside the numbering come through."""
+    calls = []
+
+    def failing(docs, **order):
+        calls.append(order)
+        raise AnalysisException("from inside")
+
+    plain = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    plain.write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(sharding, "places", failing)
+    for docs in (spark.read.parquet(f"{tmp_path}/docs"), plain):
+        with pytest.raises(AnalysisException, match="from inside"):
+            corpus_pipeline.shard(spark, docs, "")
+    assert calls == [{"order": ["_file", "_row"]}, {}]
