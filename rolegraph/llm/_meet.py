@@ -4,7 +4,7 @@ at a time, and what was found travels back packed by groups of documents.
 A place is (key, pos): ``key`` names the row (a hash of its id and text), ``pos`` is a place in its text.  Rules:
 ``shared``: a place is a hit if its code stands at another place too; ``earlier``: if its code stands in a row of smaller id.
 Codes that meet inside one slice of a task are settled there and sent once, so what a code sends is bounded by slices, not
-by the rows that hold it.
+by the rows that hold it.  Where a meeting decides, a second code of 64 bits travels along (``check``) and has to agree.
 """
 
 from __future__ import annotations
@@ -58,33 +58,36 @@ def _unpack_all(payloads: list[bytes], kinds: list[type]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in kinds]
 
 
-def _groups(code: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _groups(code: np.ndarray, *order: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorting order by code, starts of runs of equal codes in it, and their lengths."""
     by = np.lexsort((*order, code)) if order else np.argsort(code, kind="stable")
-    c = code[by]
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-    return by, first, np.diff(np.concatenate([first, [len(c)]]))
+    new = code[by[1:]] != code[by[:-1]]
+    if check is not None and ((check[by[1:]] != check[by[:-1]]) & ~new).any():  # one code, two strings
+        by = np.lexsort((*order, check, code))
+        new = (code[by[1:]] != code[by[:-1]]) | (check[by[1:]] != check[by[:-1]])
+    first = np.flatnonzero(np.concatenate([[True], new])) if len(code) else np.zeros(0, np.int64)
+    return by, first, np.diff(np.concatenate([first, [len(code)]]))
 
 
-def settle(rule: str, code: np.ndarray, key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def settle(rule: str, code: np.ndarray, row: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Which places are hits for sure, and which have to be compared with other slices."""
     hit, ask = np.zeros(len(code), bool), np.zeros(len(code), bool)
     if not len(code):
         return hit, ask
     if rule == "shared":
-        by, first, size = _groups(code)
+        by, first, size = _groups(code, check=check)
         hit[by] = np.repeat(size > 1, size)
         ask[by[first]] = True
     else:
-        by, first, size = _groups(code, row)
+        by, first, size = _groups(code, row, check=check)
         hit[by] = row[by] > np.repeat(row[by][first], size)
         ask = ~hit
     return hit, ask
 
 
-def send(rule: str, buckets: int, code: np.ndarray, key: np.ndarray, row: np.ndarray, pos: np.ndarray, short: bool = False) -> Iterator[pa.RecordBatch]:
+def send(rule: str, buckets: int, code: np.ndarray, key: np.ndarray, row: np.ndarray, pos: np.ndarray, short: bool = False, check: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Packed rows of one slice.  ``short`` sends 32 bits of a code besides its bucket: for filters, never to decide."""
-    hit, ask = settle(rule, code, key, row)
+    hit, ask = settle(rule, code, row, check)
     rows: list[tuple[int, bytes]] = []
     bucket = (code % np.uint64(buckets)).astype(np.int64)
     value = (code >> np.uint64(32)).astype(np.uint32).view(np.int32) if short else code
@@ -93,7 +96,7 @@ def send(rule: str, buckets: int, code: np.ndarray, key: np.ndarray, row: np.nda
     cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cut)):
         i = by[cut[b] : cut[b + 1]]
-        rows.append((int(b), _pack(value[i], key[i], *([row[i]] if rule == "earlier" else []), pos[i])))
+        rows.append((int(b), _pack(value[i], *([] if check is None else [check[i]]), key[i], *([row[i]] if rule == "earlier" else []), pos[i])))
     by = np.flatnonzero(hit)
     group = (key[by] % np.uint64(buckets)).astype(np.int64)
     o = np.argsort(group, kind="stable")
@@ -128,20 +131,22 @@ def places(blob: bytes | None) -> np.ndarray:
     return np.repeat(pairs[:, 0] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
 
 
-def meet(packed: DataFrame, rule: str, buckets: int, short: bool = False) -> DataFrame:
+def meet(packed: DataFrame, rule: str, buckets: int, short: bool = False, checked: bool = False) -> DataFrame:
     """(key long, hits binary): the hits of each row, for rows that have any."""
-    kinds = [np.int32 if short else np.uint64, np.uint64, *([np.int64] if rule == "earlier" else []), np.uint32]
+    kinds = [np.int32 if short else np.uint64, *([np.uint64] if checked else []), np.uint64, *([np.int64] if rule == "earlier" else []), np.uint32]
 
     def one_bucket(table: pa.Table) -> pa.Table:
         bucket, payloads = table.column("bucket")[0].as_py(), table.column("payload").to_pylist()
         if bucket < 0:
             return pa.table({"grp": pa.array([-1 - bucket] * len(payloads), pa.int32()), "payload": pa.array(payloads, pa.binary())})
-        code, key, *row, pos = _unpack_all(payloads, kinds)
+        code, *rest = _unpack_all(payloads, kinds)
+        check = rest.pop(0) if checked else None
+        key, *row, pos = rest
         if rule == "shared":
-            by, _, size = _groups(code)
+            by, _, size = _groups(code, check=check)
             by = by[np.repeat(size > 1, size)]
         else:
-            by, first, size = _groups(code, row[0])
+            by, first, size = _groups(code, row[0], check=check)
             by = by[row[0][by] > np.repeat(row[0][by][first], size)]
         key, pos = key[by], pos[by]
         group = (key % np.uint64(buckets)).astype(np.int64)

@@ -1,8 +1,11 @@
-"""Row numbers without a single-task sort, and the checkpoint folder."""
+"""Row numbers without a single-task sort, and what is frozen in the shared folder."""
 
 from __future__ import annotations
 
-import gc
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,28 +18,56 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, one is set."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, one is made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            import tempfile
-
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="rolegraph-checkpoint-")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+#: Spark's own setting by which a finished query gives its shuffle files back.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_given_back(spark: SparkSession) -> Iterator[None]:
+    """Queries made in here drop their shuffle files as they end, so disk holds those of one step at a time."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` frozen by ``checkpoint()`` in the shared folder."""
+    """``df`` frozen by ``checkpoint()`` in the shared folder; its shuffle files are dropped with it."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_given_back(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+class Stored:
+    """``df`` written as Parquet in the shared folder: smaller than a checkpoint where it holds texts, and read by columns."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+        with shuffles_given_back(self.spark):
+            df.select("*").write.option("compression", "zstd").parquet(self.path)
 
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
 
-def reclaim(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of what is already frozen, before the next step needs the disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def drop(self) -> None:
+        """Frees the disk; what was read from it and is not frozen is lost."""
+        jvm, sc = self.spark._jvm, self.spark.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def loose(df: DataFrame, *keys: str) -> DataFrame:

@@ -14,6 +14,8 @@ _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = int(_rng.integers(2**62, 2**63)) | 1
 PLACE = _rng.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
+#: The same for a second, independent code, which confirms where the first alone would decide.
+CHECK_CODE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 #: Bytes that divide words: space and \t to \r.  Bytes from 0x80 on belong to words.
 SPACED = np.ones(256, bool)
@@ -49,11 +51,11 @@ class _Powers:
 POWERS = _Powers()
 
 
-def prefix_codes(data: np.ndarray) -> np.ndarray:
+def prefix_codes(data: np.ndarray, table: np.ndarray = BYTE_CODE) -> np.ndarray:
     """Running sums of coded bytes; ``span_codes`` reads the code of any substring from them."""
     up, _ = POWERS.get(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=out[1:])
+    np.cumsum(table[data] * up[: len(data)], out=out[1:])
     return out
 
 

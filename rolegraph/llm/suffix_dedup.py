@@ -1,11 +1,12 @@
-"""Operator 6: bytes that stand in a repeated 200-byte string, by blockwise suffix sorting over a difference cover.
-
-1. Cover sample: suffixes at places whose number modulo ``PERIOD`` is in a perfect difference set are ranked by their first
-   ``ANCHOR`` bytes.  Two equal strings of PERIOD + ANCHOR - 1 = 200 bytes hold sample suffixes of equal rank at one and the
-   same offset, so only suffixes with a shared sample rank within reach can tie for 200 bytes.
-2. Those suffixes are sorted one block at a time, a block being a share of the codes of 200-byte prefixes; ties are repeats.
-   A block holds about a sixteenth as many suffixes as there are bytes of text, so disk and memory stay bounded; each block
-   reads the texts with shared ranks once more and is frozen before the next begins.
+"""Operator 6: bytes that stand in a repeated 200-byte string, by difference-cover blocks.
+
+1. Cover sample: places whose number modulo ``PERIOD`` is in a perfect difference set are grouped by their first ``ANCHOR``
+   bytes.  Two equal strings of PERIOD + ANCHOR - 1 = 200 bytes hold equal samples at one and the same offset, so only
+   suffixes with a shared sample within reach can tie for 200 bytes.  Texts that hold such are written once, as ``near``.
+2. Suffixes are taken one bucket at a time, a bucket being a share of their leading ``LEAD`` bytes, and are sorted in it by
+   128 bits of code of their 200-byte prefixes, which stand in for the comparison of ranks; ties are repeats.  A bucket holds
+   about one in ``BLOCK_SHARE`` of all places, so disk and memory stay bounded: a bucket reads ``near`` and nothing else, and
+   its shuffle files are dropped when it is frozen.
 3. Bytes covered by a repeated string go.
 
 Texts alike are one text: where it stands twice it goes whole if it has 200 bytes.  Null text is empty.  Rows that share an
@@ -14,18 +15,17 @@ id are judged each by its own text.  Extra columns are not returned.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._meet import PACKED, buckets_for, meet, places, send
-from rolegraph.llm._rows import durable, loose
-from rolegraph.llm._text import prefix_codes, slices, span_codes
+from rolegraph.llm._rows import Stored, durable, loose
+from rolegraph.llm._text import CHECK_CODE, prefix_codes, slices, span_codes
 
 LENGTH = 200
 #: A perfect difference set: every difference modulo 133 is one of two of its members.
@@ -33,14 +33,9 @@ PERIOD, COVER = 133, (18, 20, 26, 27, 31, 47, 50, 65, 75, 87, 101, 118)
 ANCHOR = LENGTH - PERIOD + 1
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
-#: Bytes of text for each suffix that a block may hold.
+#: Bytes of text for each suffix that a bucket may hold, and leading bytes that choose the bucket of a suffix.
 BLOCK_SHARE = 16
-
-
-def reclaim(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of what is already frozen, before the next block needs the disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+LEAD = 16
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -57,8 +52,8 @@ def _starts(offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + offs[row], row
 
 
-def sample_ranks(once: DataFrame, buckets: int) -> DataFrame:
-    """(key, hits): sample suffixes whose rank is shared."""
+def shared_samples(once: DataFrame, buckets: int) -> DataFrame:
+    """(key, hits): sample places whose first bytes stand at another sample place too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches):
@@ -74,7 +69,7 @@ def sample_ranks(once: DataFrame, buckets: int) -> DataFrame:
 
 
 def _asked(blob: bytes, n: int) -> np.ndarray:
-    """Which of the n - LENGTH + 1 suffixes have a shared sample rank within reach."""
+    """Which of the n - LENGTH + 1 suffixes have a shared sample within reach."""
     shared = places(blob)
     mark = np.zeros(n + 1, np.int64)
     np.add.at(mark, np.maximum(shared - PERIOD + 1, 0), 1)
@@ -83,7 +78,7 @@ def _asked(blob: bytes, n: int) -> np.ndarray:
 
 
 def suffixes(near: DataFrame, buckets: int, block: int, blocks: int) -> DataFrame:
-    """(key, hits): suffixes of one block that tie with another for 200 bytes."""
+    """(key, hits): suffixes of one bucket that tie with another for 200 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches):
@@ -91,12 +86,13 @@ def suffixes(near: DataFrame, buckets: int, block: int, blocks: int) -> DataFram
             asked = [np.flatnonzero(_asked(blob, int(n))) for blob, n in zip(batch.column("hits").to_pylist(), np.diff(offs), strict=True)]
             row = np.repeat(np.arange(len(asked)), [len(a) for a in asked])
             pos = np.concatenate(asked)
-            code = span_codes(prefix_codes(data), offs[row] + pos, offs[row] + pos + LENGTH)
-            use = (code >> np.uint64(40)) % np.uint64(blocks) == np.uint64(block)
-            row, pos, code = row[use], pos[use], code[use]
-            yield from send("shared", buckets, code, key[row], key[row].view(np.int64), pos.astype(np.uint32))
+            sums, at = prefix_codes(data), offs[row] + pos
+            use = span_codes(sums, at, at + LEAD) % np.uint64(blocks) == np.uint64(block)
+            row, pos, at = row[use], pos[use], at[use]
+            check = span_codes(prefix_codes(data, CHECK_CODE), at, at + LENGTH)
+            yield from send("shared", buckets, span_codes(sums, at, at + LENGTH), key[row], key[row].view(np.int64), pos.astype(np.uint32), check=check)
 
-    return meet(near.mapInArrow(run, PACKED), "shared", buckets)
+    return meet(near.mapInArrow(run, PACKED), "shared", buckets, checked=True)
 
 
 def _count_asked(near: DataFrame) -> int:
@@ -113,7 +109,7 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of each text, as bytes."""
-    spark, docs = docs.sparkSession, texts(docs)
+    docs = texts(docs)
     buckets = buckets_for(docs)
     total = docs.agg(F.sum("n_bytes")).first()[0] or 0
     # One row stands for texts alike; only those that have copies, and one row of each, are named.
@@ -121,17 +117,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     alike = durable(alike)
     again = alike.where("copies > 1").select(F.col("key").alias("_key"), F.col("row").alias("_row"))
     once = docs.where(F.col("n_bytes") >= LENGTH).join(again, (F.col("key") == F.col("_key")) & (F.xxhash64("doc_id", F.lit(2)) != F.col("_row")), "left_anti").select("text", "key")
-    ranks = durable(sample_ranks(once, buckets))
-    reclaim(spark)
+    ranks = durable(shared_samples(once, buckets))
     asked = _count_asked(ranks.join(alike, "key").select("hits", "n_bytes"))
     blocks = max(1, -(-asked * BLOCK_SHARE // max(total, 1)))
-    near = once.join(ranks, "key").select("text", "key", "hits")
-    found = None
-    for block in range(blocks):
-        one = durable(suffixes(near, buckets, block, blocks))
-        found = one if found is None else found.unionByName(one)
-        reclaim(spark)
-    hits = found.groupBy("key").agg(F.collect_list("hits").alias("hits"))  # one entry for each block at most
+    near = Stored(once.join(ranks, "key").select("text", "key", "hits"))
+    found = durable(suffixes(near.read(), buckets, 0, blocks))
+    for block in range(1, blocks):
+        found = found.unionByName(durable(suffixes(near.read(), buckets, block, blocks)))
+    near.drop()
+    hits = found.groupBy("key").agg(F.collect_list("hits").alias("hits"))  # one entry for each bucket at most
     known = loose(alike.join(hits, "key", "left").where("copies > 1 or hits is not null"), "key").select(F.col("key").alias("_key"), "copies", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
