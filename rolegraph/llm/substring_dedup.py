@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._meet import PACKED, buckets_for, keyed, meet, send, places
-from rolegraph.llm._rows import durable, reclaim
-from rolegraph.llm._text import prefix_codes, slices, span_codes, window_codes, words
+from rolegraph.llm._rows import durable
+from rolegraph.llm._text import CHECK_CODE, prefix_codes, slices, span_codes, window_codes, words
 
 WINDOW = 50
 #: A perfect difference set: every difference modulo 31 is one of two of its members.
@@ -62,8 +62,9 @@ def windows(docs: DataFrame, anchored: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches):
             key, row = _columns(batch)
-            _, _, rows, code = _words(data, offs)
+            start, end, rows, code = _words(data, offs)
             window, at = window_codes(code, rows, WINDOW)
+            check, _ = window_codes(span_codes(prefix_codes(data, CHECK_CODE), start, end), rows, WINDOW)
             doc = np.searchsorted(rows, at, "right") - 1
             # a window is asked for if an anchor within it is shared
             mark = np.zeros(len(code) + 1, np.int64)
@@ -72,10 +73,10 @@ def windows(docs: DataFrame, anchored: DataFrame, buckets: int) -> DataFrame:
                 np.add.at(mark, np.maximum(shared - PERIOD + 1, rows[i]), 1)
                 np.add.at(mark, shared + 1, -1)
             use = mark.cumsum()[at] > 0
-            yield from send("earlier", buckets, window[use], key[doc[use]], row[doc[use]], (at - rows[doc])[use].astype(np.uint32))
+            yield from send("earlier", buckets, window[use], key[doc[use]], row[doc[use]], (at - rows[doc])[use].astype(np.uint32), check=check[use])
 
     near = docs.select("text", "key", "row").join(anchored, "key").select("text", "key", "row", "hits")
-    return meet(near.mapInArrow(run, PACKED), "earlier", buckets)
+    return meet(near.mapInArrow(run, PACKED), "earlier", buckets, checked=True)
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -86,9 +87,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     docs = keyed(docs)
     buckets = buckets_for(docs)
     anchored = durable(anchors(docs, buckets))
-    reclaim(docs.sparkSession)
     found = durable(windows(docs, anchored, buckets))
-    reclaim(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches):
