@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rolegraph.llm import classifier, decontamination, jaccard_join, mixing, sharding
-from rolegraph.llm._rows import shared_folder
+from rolegraph.llm._rows import drop_folder, shared_folder
 from rolegraph.llm.queries import WEIGHTS, table
 
 
@@ -29,20 +27,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: all documents stay; their order, in file names and rows, is the mixture that the next stage numbers."""
+    """Operator 10: all documents stay; their order, in files and rows, is the mixture that the next stage numbers."""
     return mixing.mixed(docs, WEIGHTS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: row numbers follow the files; where rows come from no files, they follow doc_id."""
-    try:
-        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        placed.schema  # noqa: B018  resolves the columns, and nothing else
-    except AnalysisException as error:
-        if "UNRESOLVED_COLUMN" not in (error.getCondition() or ""):
-            raise
-        return sharding.places(docs)
-    return sharding.places(placed, order=["_file", "_row"])
+    """Operator 8: whole documents with their shard and slot; row numbers follow the mixture's files."""
+    return sharding.placed(docs)
 
 
 STAGES = [
@@ -58,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written as Parquet in the shared folder and read again."""
+    """All stages over the documents; each is written as Parquet in the shared folder and read again, and goes when its
+    successor is written."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            drop_folder(spark, f"{folder}/{k - 1}")
     return docs

@@ -65,9 +65,21 @@ class Stored:
 
     def drop(self) -> None:
         """Frees the disk; what was read from it and is not frozen is lost."""
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(self.spark, self.path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or, where ``df`` has such a column, one that it has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def loose(df: DataFrame, *keys: str) -> DataFrame:

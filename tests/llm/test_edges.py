@@ -185,3 +185,14 @@ def test_components(spark):
     got = {row["node"]: row["root"] for row in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_chains_end_soon(spark, monkeypatch):
+    """A chain of ascending numbers, the worst case of pointing to the smaller neighbour, takes few rounds."""
+    from rolegraph.llm import _graph
+
+    rounds, plain = [], _graph.durable
+    monkeypatch.setattr(_graph, "durable", lambda df: rounds.append(1) or plain(df))
+    got = _graph.components(spark.range(400).selectExpr("id a", "id + 1 b"))
+    assert {r["root"] for r in got.collect()} == {0} and got.count() == 401
+    assert len(rounds) < 50  # two for each round

@@ -32,6 +32,7 @@ def test_stages(spark, tmp_path):
             assert kept[3] == ids
             order = [r["doc_id"] for r in docs.selectExpr("doc_id", "_metadata.file_name f", "_metadata.row_index i").orderBy("f", "i").collect()]
             assert order != sorted(order)
+    assert set(columns) < set(docs.columns) and {r["doc_id"]: r["text"] for r in docs.collect()} == {r["doc_id"]: r["text"] for r in before.collect()}
     want = {d: shard_of(i, len(order), 16) for i, d in enumerate(order)}
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in docs.collect()} == want
 

@@ -90,16 +90,26 @@ def test_one_row_of_each_component(spark):
 
 def test_errors_of_sharding_are_not_hidden(spark, tmp_path, monkeypatch):
     """Only a table from no files is numbered by doc_id; errors inside the numbering come through."""
-    calls = []
-
-    def failing(docs, **order):
-        calls.append(order)
+    def failing(*given, **more):
         raise AnalysisException("from inside")
 
     plain = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     plain.write.parquet(f"{tmp_path}/docs")
-    monkeypatch.setattr(sharding, "places", failing)
+    monkeypatch.setattr(sharding, "_dealt", failing)
     for docs in (spark.read.parquet(f"{tmp_path}/docs"), plain):
         with pytest.raises(AnalysisException, match="from inside"):
             corpus_pipeline.shard(spark, docs, "")
-    assert calls == [{"order": ["_file", "_row"]}, {}]
+
+
+def test_rows_follow_the_numbers_of_files(spark, tmp_path):
+    """part-100000 comes after part-99999, whatever their names sort like; documents keep all their columns."""
+    for k, name in enumerate(("part-99998-x", "part-99999-x", "part-100000-x", "part-100001-x")):
+        spark.createDataFrame([(10 * k + i, f"text {k} {i}", "extra") for i in range(3)], "doc_id long, text string, _l string").coalesce(1).write.parquet(f"{tmp_path}/one{k}")
+        (written,) = (tmp_path / f"one{k}").glob("part-*.parquet")
+        (tmp_path / "docs").mkdir(exist_ok=True)
+        written.rename(tmp_path / "docs" / f"{name}.parquet")
+    out = corpus_pipeline.shard(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()
+    ids = [10 * k + i for k in range(4) for i in range(3)]
+    assert {r["doc_id"]: r["row_number"] for r in out} == {d: n for n, d in enumerate(ids)}
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out} == {d: sharding.shard_of(n, 12, 16) for n, d in enumerate(ids)}
+    assert all(r["text"] == f"text {r['doc_id'] // 10} {r['doc_id'] % 10}" and r["_l"] == "extra" for r in out)
