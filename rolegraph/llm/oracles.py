@@ -60,6 +60,37 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(c
 """
 
 
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+hits AS (SELECT doc_id, i FROM win SEMI JOIN (SELECT k FROM win GROUP BY 1 HAVING count(*) > 1) AS again USING (k)),
+runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM hits)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY doc_id, run),
+placed AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS k, sum(b - a) AS gone, count(*) AS n FROM placed JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+def shards(keys: list[int], shards: int = 16) -> str:
+    """SQL of the sharding: checksums over bytes, a Feistel round for each key, and walks until a number is inside."""
+    rounds = "SELECT id, n, side, v // side AS l, v % side AS r FROM walk JOIN total ON true WHERE k = 0 OR v >= n"
+    for key in keys:
+        mixed = f"SELECT *, (r * {key} + {key % 65521}) % 2147483647 AS t FROM ({rounds})"
+        rounds = f"SELECT id, n, side, r AS l, (l + xor(t, t >> 13) * 1103515245 % 2147483629) % side AS r FROM ({mixed})"
+    return f"""
+WITH RECURSIVE steps AS (SELECT c, c AS v, 0 AS k FROM range(256) AS x(c) UNION ALL SELECT c, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY c) AS t FROM steps WHERE k = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS bytes FROM documents),
+s AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d JOIN crc ON true),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number FROM s),
+total AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM documents),
+walk AS (SELECT row_number AS id, row_number AS v, 0 AS k FROM numbered UNION ALL SELECT id, l * side + r, 1 FROM ({rounds})),
+ends AS (SELECT id, v FROM walk JOIN total ON true WHERE k = 1 AND v < n)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(v % {shards} AS INTEGER) AS shard, CAST(v // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number FROM numbered JOIN ends ON id = row_number
+"""
+
+
 def rules(stop_words: list[str], limits: dict[str, float]) -> str:
     """SQL of the quality rules with the limits of the threshold table."""
     listed = ", ".join(f"'{w}'" for w in stop_words)

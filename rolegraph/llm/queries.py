@@ -71,5 +71,6 @@ def oracle_sql() -> dict[str, str]:
     limits = {name: limit for name, _, _, limit in quality_rules.RULES}
     return {
         "op1_jaccard_join": oracles.JACCARD, "op2_url_filter": oracles.URLS, "op4_decontamination": oracles.CONTAMINATION,
+        "op6_suffix_dedup": oracles.REPEATS, "op8_sharding": oracles.shards(sharding.round_keys(7)),
         "op7_quality_rules": oracles.rules(quality_rules.STOP_WORDS, limits), "op9_substring_dedup": oracles.PASSAGES,
     }

@@ -67,3 +67,14 @@ def test_mixing(spark, rows):
         if len(full) == total:
             assert all(abs(seen[s] - t * w / total) < 1 for s, w in queries.WEIGHTS.items())
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+
+
+@pytest.mark.parametrize("name", ["op6_suffix_dedup", "op8_sharding"])
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df = queries.queries()[name](spark, SF)
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)

@@ -28,6 +28,30 @@ def test_rare_words_are_learned():
     assert marked < 0.5 < plain
 
 
+def test_fit_is_the_best_of_its_likelihood():
+    """Plain likelihood with the ridge penalty: no small step from the fitted weights and thresholds makes it better."""
+    rng = np.random.default_rng(3)
+    n, grades = 120, 3
+    grade = rng.integers(0, grades, n)
+    has = rng.random((n, 6)) < 0.2 + 0.25 * grade[:, None] * (np.arange(6) < 3)
+    row, feature = np.nonzero(has)
+    model = classifier.fit_ordinal(row, feature, grade, grades, steps=4000, rate=0.02)
+
+    def loss(weights, thresholds):
+        s = has @ weights
+        below = lambda k: 1 / (1 + np.exp(s - thresholds[k]))
+        p = [below(0), below(1) - below(0), 1 - below(1)]
+        return -np.mean(np.log(np.choose(grade, p))) + 1.0 * (weights**2).sum() / (2 * n)
+
+    w, t = model.weights[:6], model.thresholds
+    best = loss(w, t)
+    for k in range(8):
+        for step in (-1e-2, 1e-2):
+            moved = np.concatenate([w, t])
+            moved[k] += step
+            assert loss(moved[:6], moved[6:]) > best - 1e-7
+
+
 def test_insults_of_the_small_table_have_weights(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = classifier.fit(docs, labels, classifier.grade_of())
