@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.functions.text import normalize, search_score
-from rolegraph.operators import graph, lookups
+from rolegraph.functions import roles
+from rolegraph.functions.text import is_under, normalize, position, search_score
+from rolegraph.operators import graph, lookups, measures
 from rolegraph.operators.lookups import Page
-from rolegraph.plans import doctor, export, stats
-from rolegraph.plans.catalog import Catalog
+from rolegraph.plans import analyses, doctor, export, stats
+from rolegraph.plans.catalog import Catalog, first
 from rolegraph.sources.listing import in_scope
 
 
@@ -28,17 +31,78 @@ class Library:
     def doctor(self, severity: str | None = None) -> DataFrame:
         return doctor.diagnose(self.catalog, severity)
 
-    def artists(self, role: str | None = None, contains: str = "", page: Page = Page()) -> DataFrame:  # noqa: B008
-        """Artists with their tracks and releases, most tracks first."""
+    def role_key(self, typed: str) -> str:
+        """The key of a role by its key or its shown name; a name of no role is an error that lists those in use."""
+        used = [r[0] for r in self.catalog.credit.select("role").distinct().orderBy("role").collect()]  # roles are few
+        known = self.catalog.file.sparkSession.createDataFrame([(i, k) for i, k in enumerate(dict.fromkeys([*used, *roles.NAMES]))], "at int, role string")
+        wanted = normalize(F.lit(typed))
+        hit = known.where((normalize(F.col("role")) == wanted) | (normalize(roles.role_label(F.col("role"))) == wanted)).orderBy("at").select("role").first()
+        if hit is None:
+            raise ValueError(f"no role {typed!r}; in use are {', '.join(roles.NAMES.get(r, r) for r in used)}")
+        return hit[0]
+
+    def roles(self) -> DataFrame:
+        """(role, label, artists): the roles that the catalog holds."""
+        per = self.catalog.credit.groupBy("role").agg(F.countDistinct("artist_key").alias("artists"))
+        return per.select("role", roles.role_label(F.col("role")).alias("label"), "artists").orderBy("role")
+
+    def artists(self, role: str | None = None, contains: str = "", by: str = "tracks", page: Page = Page()) -> DataFrame:  # noqa: B008
+        """Artists with their tracks, releases, duration and bytes, most tracks first, or by name."""
+        if by not in ("tracks", "name"):
+            raise ValueError("artists are sorted by tracks or by name")
         c = self.catalog
-        credit = c.credit if role is None else c.credit.where(F.col("role") == role)
-        on = credit.join(c.file.select(F.col("path").alias("entity_key"), F.col("release_key").alias("_of")), "entity_key", "left")
+        credit = c.credit if role is None else c.credit.where(F.col("role") == self.role_key(role))
+        files = c.file.select(F.col("path").alias("entity_key"), F.col("release_key").alias("_of"), "duration_ms", "size")
+        on = credit.select("artist_key", "entity_kind", "entity_key").distinct().join(files, "entity_key", "left")
         release = F.when(F.col("entity_kind") == "release", F.col("entity_key")).otherwise(F.col("_of"))
-        per = on.groupBy("artist_key").agg(F.countDistinct(F.when(F.col("entity_kind") == "track", F.col("entity_key"))).alias("tracks"), F.countDistinct(release).alias("releases"))
-        rows = c.artist.join(per, F.col("key") == F.col("artist_key"), "inner" if role else "left").na.fill(0, ["tracks", "releases"])
-        return page.of(rows.where(F.col("key").contains(normalize(F.lit(contains)))).orderBy(F.desc("tracks"), "sort_name", "key").select("name", "tracks", "releases"))
+        track = F.col("entity_kind") == "track"
+        # one row an artist and release first, so that no row is multiplied for its distinct count
+        per = on.groupBy("artist_key", release.alias("_release")).agg(F.count_if(track).alias("n"), F.sum(F.when(track, F.col("duration_ms"))).alias("ms"), F.sum(F.when(track, F.col("size"))).alias("b"))
+        per = per.groupBy("artist_key").agg(F.sum("n").alias("tracks"), F.count("_release").alias("releases"), F.sum("ms").alias("duration_ms"), F.sum("b").alias("bytes"))
+        rows = c.artist.join(per, F.col("key") == F.col("artist_key"), "inner" if role else "left").na.fill(0, ["tracks", "releases", "duration_ms", "bytes"])
+        order = [F.desc("tracks"), "sort_name", "key"] if by == "tracks" else ["sort_name", "key"]
+        return page.of(rows.where(F.col("key").contains(normalize(F.lit(contains)))).orderBy(*order).select("name", "tracks", "releases", "duration_ms", "bytes"))
+
+    def _per_release(self) -> DataFrame:
+        return self.catalog.file.groupBy("release_key").agg(F.count("*").alias("tracks"), F.sum("duration_ms").alias("duration_ms"), F.sum("size").alias("bytes"))
+
+    def genres(self, page: Page = Page()) -> DataFrame:  # noqa: B008
+        """Genres with their tracks, duration and bytes, most tracks first."""
+        c = self.catalog
+        on = c.genre_link.where("entity_kind = 'track'").select(F.col("entity_key").alias("path"), F.col("genre_key").alias("key")).distinct().join(c.file.select("path", "duration_ms", "size"), "path")
+        per = on.groupBy("key").agg(F.count("*").alias("tracks"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"), F.sum("size").alias("size_bytes"))
+        return page.of(per.join(c.genre, "key").orderBy(F.desc("tracks"), "seen").select(F.col("name").alias("genre"), "tracks", "duration_ms", "size_bytes"))
+
+    def labels(self, page: Page = Page()) -> DataFrame:  # noqa: B008
+        """Labels with their albums, tracks, duration and bytes, most albums first."""
+        c = self.catalog
+        on = c.release.select("release_key", F.explode("label_keys").alias("key")).join(self._per_release(), "release_key")
+        per = on.groupBy("key").agg(F.count("*").alias("albums"), F.sum("tracks").alias("tracks"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"), F.sum("bytes").alias("size_bytes"))
+        return page.of(per.join(c.label, "key").orderBy(F.desc("albums"), "seen").select(F.col("name").alias("label"), "albums", "tracks", "duration_ms", "size_bytes"))
+
+    def roots(self, places: list[str]) -> DataFrame:
+        """(root, files, duration_ms, bytes) of each watched place, and a row without a root for files outside all of them."""
+        inside = F.array_compact(F.array(*[F.when(is_under(F.col("path"), F.lit(p)), F.lit(p)) for p in places]))
+        found = self.catalog.file.select(F.explode_outer(inside).alias("root"), "duration_ms", "size")
+        per = found.groupBy("root").agg(F.count("*").alias("files"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"), F.sum("size").alias("bytes"))
+        named = self.catalog.file.sparkSession.createDataFrame([(p,) for p in places], "root string")
+        return per.join(named, "root", "full").na.fill(0, ["files", "duration_ms", "bytes"]).orderBy(F.asc_nulls_last("root"))
+
+    def notices(self) -> DataFrame:
+        """One row: files that no check has read, and analyses that wait for their file."""
+        c = self.catalog
+        unread = c.file.agg(F.count_if(F.col("integrity").isNull()).alias("unverified"))
+        if c.analysis is None:
+            return unread.withColumn("waiting", F.lit(0).cast("long"))
+        return measures.one_row(unread, analyses.pending(c.analysis, c.file).agg(F.count("*").alias("waiting")))
 
-    def albums(self, artist: str = "", year: int | None = None, genre: str | None = None, label: str | None = None, compilations: bool | None = None, page: Page = Page()) -> DataFrame:  # noqa: B008
+    def nearest(self, kind: str, typed: str) -> DataFrame:
+        """Names of a table that are a few letters from a typed one, nearest first."""
+        table = {"artist": self.catalog.artist, "label": self.catalog.label, "genre": self.catalog.genre}[kind]
+        far = F.levenshtein(F.col("key"), normalize(F.lit(typed)))
+        return table.withColumn("distance", far).where(F.col("distance") <= max(1, len(typed) // 3)).orderBy("distance", F.length("name"), "name").select("name", "distance")
+
+    def albums(self, artist: str = "", year: int | None = None, genre: str | None = None, label: str | None = None, compilations: bool | None = None, comment: str = "", page: Page = Page()) -> DataFrame:  # noqa: B008
         """Releases that meet all conditions, by year, title; an unknown genre or label is an error."""
         c, rows = self.catalog, self.catalog.release
         if artist:
@@ -47,6 +111,9 @@ class Library:
             rows = rows.where(F.col("year") == year)
         if compilations is not None:
             rows = rows.where(F.col("is_compilation") == compilations)
+        if comment:
+            said = c.file.where(normalize(first("comment")).contains(normalize(F.lit(comment)))).select("release_key")
+            rows = rows.join(said, "release_key", "left_semi")
         for name, table in (("genre", c.genre), ("label", c.label)):
             asked = {"genre": genre, "label": label}[name]
             if asked is None:
@@ -65,10 +132,61 @@ class Library:
         return page.of(out.orderBy(F.asc_nulls_last("year"), "title", "release_key").select("title", "artist", "year", "tracks", "duration_ms", "bytes", "quality", "release_key"))
 
     def album(self, title: str) -> DataFrame:
-        return lookups.exact_or_partial(self.catalog.release, "key", title)
+        """Releases of that title, else those that hold it, else the best release of a search."""
+        found = lookups.exact_or_partial(self.catalog.release, "key", title)
+        if found.isEmpty():
+            best = self.search(title, 1).where("kind = 'release'").select(F.col("id").alias("release_key"))
+            found = self.catalog.release.join(F.broadcast(best), "release_key", "left_semi").withColumn("match", F.lit("search"))  # one row at most
+        return found
+
+    def album_page(self, title: str) -> dict[str, DataFrame]:
+        """What is known of the releases of a title: totals, tracks in order, credits by role, genres, and related releases."""
+        c, found = self.catalog, self.album(title).select("release_key")
+        files = c.file.join(found, "release_key", "left_semi")
+        per = self._per_release().join(files.groupBy("release_key").agg(measures.worst_of(F.col("integrity.state")).alias("integrity"), F.array_join(F.sort_array(F.collect_set("quality")), ", ").alias("quality")), "release_key")
+        owner = c.artist.select(F.col("key").alias("owner_key"), F.col("name").alias("artist"))
+        head = c.release.join(per, "release_key").join(owner, "owner_key", "left").select("release_key", "title", F.coalesce("artist", F.lit("Various Artists")).alias("artist"), "year", "tracks", "duration_ms", "bytes", "quality", "integrity", "folder")
+        disc = F.coalesce("disc_no", F.lit(1))
+        related = c.release_relation.join(found, F.col("source") == F.col("release_key"), "left_semi").join(c.release.select(F.col("release_key").alias("target"), "title", "folder"), "target")
+        return {
+            "albums": head.orderBy("release_key"),
+            "tracks": files.select("release_key", position(F.col("disc_no"), F.col("track_no")).alias("position"), "title", "duration_ms", "quality", "path", disc.alias("_disc"), "track_no").orderBy("release_key", "_disc", F.asc_nulls_last("track_no"), "title", "path").drop("_disc", "track_no"),
+            "credits": self.credits(files.select("path")),
+            "genres": c.genre_link.where("entity_kind = 'release'").join(found, F.col("entity_key") == F.col("release_key"), "left_semi").join(c.genre.select(F.col("key").alias("genre_key"), "name"), "genre_key").select(F.col("entity_key").alias("release_key"), "name").orderBy("release_key", "name"),
+            "related": related.select("source", "kind", "target", "title", "folder").orderBy("source", "kind", "target"),
+        }
+
+    def credits(self, paths: DataFrame) -> DataFrame:
+        """(role, label, name, tracks): who holds which role on tracks (path)."""
+        c = self.catalog
+        on = c.credit.where("entity_kind = 'track'").join(paths, F.col("entity_key") == F.col("path"), "left_semi")
+        per = on.groupBy("role", "artist_key").agg(F.count("*").alias("tracks")).join(c.artist.select(F.col("key").alias("artist_key"), "name"), "artist_key")
+        return per.select("role", roles.role_label(F.col("role")).alias("label"), "name", "tracks").orderBy("role", F.desc("tracks"), "name")
+
+    def tracks(self, title: str = "", artist: str = "", album: str = "", comment: str = "", page: Page = Page(None)) -> DataFrame:  # noqa: B008
+        """Tracks that meet all conditions: exact titles, or else titles that hold it; any credited or album artist; album; comment."""
+        c, rows = self.catalog, self.catalog.file.withColumn("key", normalize(F.col("title")))
+        if artist:
+            like = c.artist.where(F.col("key").contains(normalize(F.lit(artist)))).select(F.col("key").alias("artist_key"))
+            credited = c.credit.where("entity_kind = 'track'").join(like, "artist_key", "left_semi").select(F.col("entity_key").alias("path"))
+            owned = c.release.join(like, F.col("owner_key") == F.col("artist_key"), "left_semi").select("release_key").join(c.file.select("path", "release_key"), "release_key").select("path")
+            rows = rows.join(credited.unionByName(owned).distinct(), "path", "left_semi")
+        if album:
+            rows = rows.join(c.release.where(F.col("key").contains(normalize(F.lit(album)))).select("release_key"), "release_key", "left_semi")
+        if comment:
+            rows = rows.where(normalize(first("comment")).contains(normalize(F.lit(comment))))
+        if title:
+            rows = lookups.exact_or_partial(rows, "key", title)
+        return page.of(rows.orderBy("path"))
 
-    def tracks(self, title: str) -> DataFrame:
-        return lookups.exact_or_partial(self.catalog.file.withColumn("key", normalize(F.col("title"))), "key", title)
+    def track_page(self, path: str) -> dict[str, DataFrame]:
+        """What is known of one track: its file, its place, who holds which role, and other files of its title and artist."""
+        c = self.catalog
+        one = c.file.where(F.col("path") == path)
+        head = one.join(c.release.select("release_key", F.col("title").alias("album"), "year"), "release_key", "left").select("path", "title", position(F.col("disc_no"), F.col("track_no")).alias("position"), "album", "year", "duration_ms", "size", "quality", first("comment").alias("comment"), F.coalesce("integrity.state", F.lit("not_verified")).alias("integrity"))
+        who = lambda df: df.select("path", normalize(F.col("title")).alias("what"), normalize(F.coalesce(first("artist"), F.lit(""))).alias("by"), "release_key", "duration_ms", "quality")
+        mine = who(one).select(F.col("path").alias("_path"), "what", "by")
+        return {"track": head, "credits": self.credits(one.select("path")), "others": who(c.file).join(F.broadcast(mine), ["what", "by"]).where("path <> _path").select("path", "release_key", "duration_ms", "quality").orderBy("path")}
 
     def played_with(self, artist: str, limit: int = 20) -> DataFrame:
         """Those who play on tracks of the artist, by the number of tracks."""
@@ -108,8 +226,20 @@ class Library:
         """Releases of all genres or labels like ``name``."""
         return self.albums(**{kind: name}, page=Page(None))
 
+    def facet_artists(self, kind: str, name: str) -> DataFrame:
+        """(name, tracks): main artists on the tracks of all genres or labels like ``name``."""
+        c = self.catalog
+        table = {"genre": c.genre, "label": c.label}[kind]
+        keys = table.where(F.col("key").contains(normalize(F.lit(name)))).select(F.col("key").alias("_wanted"))
+        if kind == "genre":
+            paths = c.genre_link.where("entity_kind = 'track'").join(keys, F.col("genre_key") == F.col("_wanted"), "left_semi").select(F.col("entity_key").alias("path")).distinct()
+        else:
+            of = c.release.select("release_key", F.explode("label_keys").alias("_label")).join(keys, F.col("_label") == F.col("_wanted"), "left_semi").select("release_key").distinct()
+            paths = c.file.join(of, "release_key", "left_semi").select("path")
+        return self.credits(paths).where("role = 'main'").select("name", "tracks").orderBy(F.desc("tracks"), "name")
+
     def years(self) -> DataFrame:
-        per = self.catalog.file.groupBy("release_key").agg(F.count("*").alias("tracks"), F.sum("duration_ms").alias("duration_ms"), F.sum("size").alias("bytes"))
+        per = self._per_release()
         dated = self.catalog.release.where("year is not null").select("release_key", "year").join(per, "release_key")
         return dated.groupBy("year").agg(F.count("*").alias("albums"), F.sum("tracks").alias("tracks"), F.sum("duration_ms").alias("duration_ms"), F.sum("bytes").alias("bytes")).orderBy("year")
 
@@ -133,6 +263,18 @@ class Library:
         hits = out.withColumn("score", search_score(normalize(F.col("name")), normalize(F.lit(text)))).where("score is not null")
         return hits.orderBy("score", "_rank", F.octet_length("name"), "name", "id").limit(limit).drop("_rank")
 
+    def imported(self, records: DataFrame) -> "Library":
+        """The library with analyses merged in, whatever waited and now has its file included."""
+        c = self.catalog
+        old = records.where(F.lit(False)) if c.analysis is None else c.analysis
+        merged = analyses.merge(old, records, c.file.select("path", "size", "mtime"))
+        return Library(replace(c, analysis=analyses.reconcile(merged, c.file.select("path", "size", "mtime"))))
+
+    def forget(self, source: str | None = None) -> "Library":
+        """The library without the analyses of a source, or of all."""
+        c = self.catalog
+        return self if c.analysis is None else Library(replace(c, analysis=analyses.forget(c.analysis, source)))
+
     def export(self, what: str = "albums") -> DataFrame:
         rows = {"albums": export.album_rows, "tracks": export.track_rows}
         if what not in rows:

@@ -83,6 +83,30 @@ def format_rate(hz: Column) -> Column:
     return F.concat(F.when(hz % 1000 == 0, whole).otherwise(F.concat(whole, F.lit("."), (tenths % 10).cast("string"))), F.lit(" kHz"))
 
 
+def position(disc: Column, track: Column) -> Column:
+    """``disc 2, track 5``, as far as it is known."""
+    part = lambda n, word: F.when(n.isNotNull(), F.concat(F.lit(f"{word} "), n.cast("string")))
+    return F.nullif(F.concat_ws(", ", part(disc, "disc"), part(track, "track")), F.lit(""))
+
+
+def format_size(size: Column) -> Column:
+    """Decimal units with one decimal, halves up; bytes below 1000 as they are."""
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("kB", "MB", "GB", "TB"), 1):
+        tenths = F.floor((size + 1000**k // 20) / (1000**k // 10)).cast("long")
+        shown = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = F.when(size >= 1000**k, shown).otherwise(out)
+    return out
+
+
+def long_duration(ms: Column) -> Column:
+    """``1 d 1 h 0 min``, ``2 h 5 min``, ``2 min 0 s`` or ``40 s``."""
+    s = F.floor((ms + 500) / 1000)
+    part = lambda n, unit: F.concat(n.cast("long").cast("string"), F.lit(f" {unit}"))
+    hours, minutes = part(F.floor(s % 86400 / 3600), "h"), part(F.floor(s % 3600 / 60), "min")
+    return F.when(s >= 86400, F.concat_ws(" ", part(F.floor(s / 86400), "d"), hours, minutes)).when(s >= 3600, F.concat_ws(" ", hours, minutes)).when(s >= 60, F.concat_ws(" ", minutes, part(s % 60, "s"))).otherwise(part(s, "s"))
+
+
 def folder(path: Column) -> Column:
     """What stands before the last slash."""
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolegraph.operators.frozen import durable
 
-def sequence_gaps(df: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """(keys, present, missing): numbers of 1..max that a group lacks, for groups that lack any."""
-    groups = df.groupBy(*keys).agg(F.sort_array(F.collect_set(number)).alias("present"), F.max(number).alias("_most"))
-    whole = F.when(F.col("_most") >= 1, F.sequence(F.lit(1).cast("int"), F.col("_most").cast("int")))
-    return groups.withColumn("missing", F.array_except(whole, F.col("present").cast("array<int>"))).where(F.size("missing") > 0).drop("_most")
+
+def sequence_gaps(df: DataFrame, keys: list[str], number: str, listed: int = 12) -> DataFrame:
+    """(keys, present, missing, n_missing): numbers of 1..max that a group lacks, for groups that lack any.
+
+    A gap is what lies between a number and the one before it, so its cost is that of the numbers present, however large they
+    are; ``missing`` lists the first ``listed``, ``n_missing`` counts all.
+    """
+    once = df.where(F.col(number).isNotNull()).select(*keys, F.col(number).cast("long").alias("_n")).distinct()
+    before = F.greatest(F.coalesce(F.lag("_n").over(Window.partitionBy(*keys).orderBy("_n")), F.lit(0)), F.lit(0))
+    gap = once.withColumn("_lack", F.greatest(F.col("_n") - 1 - before, F.lit(0))).withColumn("_from", before + 1)
+    first = F.when(F.col("_lack") > 0, F.sequence(F.col("_from"), F.col("_from") + F.least("_lack", F.lit(listed)) - 1))
+    groups = gap.groupBy(*keys).agg(F.sort_array(F.collect_set("_n")).alias("present"), F.flatten(F.collect_list(first)).alias("_all"), F.sum("_lack").alias("n_missing"))
+    lacking = groups.where("n_missing > 0").withColumn("missing", F.slice(F.array_sort("_all"), 1, listed).cast("array<int>"))
+    return lacking.select(*keys, F.col("present").cast(f"array<{df.schema[number].dataType.simpleString()}>").alias("present"), "missing", "n_missing")
 
 
 def tolerance_clusters(df: DataFrame, keys: list[str], value: str, tie: str, tolerance: float) -> DataFrame:
@@ -44,10 +54,11 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def dense_ids(df: DataFrame, key: str, order: list[str], name: str = "id") -> DataFrame:
     """(name, key): 0, 1, 2... in the order in which keys first appear.
 
-    Distinct keys are range-partitioned and numbered by partition, with one count a partition added up in one place.
+    Distinct keys are range-partitioned and frozen, since bounds of ranges are sampled, then numbered by partition, with one
+    count a partition added up in one place.
     """
     first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    placed = first.repartitionByRange("_first", key).sortWithinPartitions("_first", key).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    placed = durable(first.repartitionByRange("_first", key).sortWithinPartitions("_first", key)).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return placed.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name), key)

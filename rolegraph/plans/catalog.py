@@ -7,8 +7,9 @@ Entities are joined on natural keys (path, matching key, release key); dense ids
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegraph.functions import text as T
@@ -101,9 +102,8 @@ def build(scanned: DataFrame) -> Catalog:
     genre = links(files, F.filter(F.flatten(F.transform(values("genre"), lambda g: F.transform(F.split(g, ";"), F.trim))), lambda g: g != ""), "genre")
     label_of = label.groupBy("release_key", "key").agg(F.min("seen").alias("seen")).groupBy("release_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "key"))), lambda x: x["key"]).alias("label_keys"))
     release = release.join(label_of, "release_key", "left")
-    genre_link = genre.select(F.lit("track").alias("entity_kind"), F.col("path").alias("entity_key"), F.col("key").alias("genre_key")).unionByName(
-        genre.where("release_key is not null").select(F.lit("release").alias("entity_kind"), F.col("release_key").alias("entity_key"), F.col("key").alias("genre_key")).distinct()
-    )
+    link = lambda kind, column: genre.where(F.col(column).isNotNull()).groupBy(F.lit(kind).alias("entity_kind"), F.col(column).alias("entity_key"), F.col("key").alias("genre_key")).agg(F.min("seen").alias("seen"))
+    genre_link = link("track", "path").unionByName(link("release", "release_key"))
     plays = credit.where((F.col("entity_kind") == "track") & F.col("role").isin(*graph.PERFORMING))
     return Catalog(files, artist, release, first_spelling(label), first_spelling(genre), credit, genre_link, graph.cooccurrence(plays, "entity_key", "artist_key"), release_relations(files, release))
 
@@ -151,6 +151,39 @@ def release_relations(files: DataFrame, release: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "kind"))
 
 
+TABLES = ("file", "artist", "release", "label", "genre", "credit", "genre_link", "collaboration", "release_relation")
+#: Version of the layout that ``save`` writes; ``load`` reads this one alone.
+VERSION = 1
+
+
+def save(c: Catalog, folder: str) -> None:
+    """The tables of a catalog as Parquet below ``folder``, which has to be new, and the version of their layout."""
+    for name in (*TABLES, *(["analysis"] if c.analysis is not None else [])):
+        getattr(c, name).write.parquet(f"{folder}/{name}")
+    c.file.sparkSession.createDataFrame([(VERSION, c.analysis is not None)], "version int, analysis boolean").coalesce(1).write.parquet(f"{folder}/version")
+
+
+def load(spark: SparkSession, folder: str) -> Catalog:
+    """A saved catalog; another version of the layout is an error."""
+    given = spark.read.parquet(f"{folder}/version").first()
+    if given["version"] != VERSION:
+        raise ValueError(f"the catalog has version {given['version']}, this library reads {VERSION}: build it again")
+    return Catalog(*[spark.read.parquet(f"{folder}/{name}") for name in TABLES], spark.read.parquet(f"{folder}/analysis") if given["analysis"] else None)
+
+
+def broken_links(c: Catalog) -> DataFrame:
+    """(what, key): keys that stand twice and links to what is not there; none in a sound catalog."""
+    twice = [df.groupBy(F.col(key).alias("key")).count().where("count > 1").select(F.lit(f"{name} twice").alias("what"), "key") for name, df, key in (("file", c.file, "path"), ("artist", c.artist, "key"), ("release", c.release, "release_key"))]
+    lost = [
+        ("file without its release", c.file.select(F.col("release_key").alias("key")), c.release.select(F.col("release_key").alias("key"))),
+        ("credit without its artist", c.credit.select(F.col("artist_key").alias("key")), c.artist.select("key")),
+        ("credit without its track", c.credit.where("entity_kind = 'track'").select(F.col("entity_key").alias("key")), c.file.select(F.col("path").alias("key"))),
+        ("genre link without its genre", c.genre_link.select(F.col("genre_key").alias("key")), c.genre.select("key")),
+    ]
+    gone = [a.where("key is not null").distinct().join(b, "key", "left_anti").select(F.lit(what).alias("what"), "key") for what, a, b in lost]
+    return reduce(DataFrame.unionByName, [*twice, *gone]).orderBy("what", "key")
+
+
 def with_ids(table: DataFrame, key: str) -> DataFrame:
     """``table`` with a dense ``id`` in order of first appearance."""
     return table.join(sequences.dense_ids(table, key, ["seen"]), key)

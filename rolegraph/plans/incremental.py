@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ def carry_over(before: DataFrame, listing: DataFrame, key: list[str], fresh: lis
     return before.join(listing.select(*on), on, "left_semi"), listing.join(before.select(*on), on, "left_anti")
 
 
+def rescan(before: DataFrame, listing: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scanned files after a new listing (path, size, mtime): rows that still hold are kept, ``read`` makes those of new and
+    changed files, and files that are gone go."""
+    kept, again = carry_over(before, listing, ["path"], ["size", "mtime"])
+    return kept.unionByName(read(again), allowMissingColumns=True)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], seq: str) -> DataFrame:
     """Records by key, the one of largest ``seq`` winning; of equal ones the new."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

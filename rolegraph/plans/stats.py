@@ -35,12 +35,12 @@ def buckets(c: Catalog) -> dict[str, DataFrame]:
 
 
 def completeness(c: Catalog) -> DataFrame:
-    """Shares of releases with a cover and of tracks with a year, a genre and a recording id."""
+    """Shares of releases with a cover and of tracks with a genre, a recording id and a release that has a year."""
     art = c.file.where("release_key is not null").groupBy("release_key").agg(F.bool_or("has_embedded_art").alias("art"))
     covers = c.release.join(art, "release_key").agg(F.count_if(F.col("folder_cover").isNotNull() | F.col("art")).alias("covers"), F.count("*").alias("releases"))
     with_genre = c.genre_link.where("entity_kind = 'track'").agg(F.countDistinct("entity_key").alias("genres"))
-    year = F.coalesce(first("originaldate"), first("date"))
-    tracks = c.file.agg(F.count("*").alias("tracks"), F.count_if(year.isNotNull()).alias("years"), F.count_if(first("musicbrainz_recordingid").isNotNull()).alias("ids"))
+    dated = c.release.where("year is not null").select("release_key", F.lit(True).alias("dated"))
+    tracks = c.file.join(dated, "release_key", "left").agg(F.count("*").alias("tracks"), F.count_if("dated").alias("years"), F.count_if(first("musicbrainz_recordingid").isNotNull()).alias("ids"))
     r = lambda a, b: measures.ratio(F.col(a), F.col(b))
     return measures.one_row(covers, with_genre, tracks).select(r("covers", "releases").alias("cover"), r("years", "tracks").alias("year"), r("genres", "tracks").alias("genre"), r("ids", "tracks").alias("mbid"))
 

@@ -58,17 +58,25 @@ def _flac(df: DataFrame) -> DataFrame:
     )
     df = df.withColumn("_b", blocks)
     c = F.col("_b.comment").cast("int")
-    vendor = number(x, c, 4, True).cast("int")
-    df = df.withColumns({"_first": c + vendor + 8, "_n": F.coalesce(number(x, c + vendor + 4, 4, True), F.lit(0)).cast("int")})
+    # Lengths are taken at their word only as far as the bytes at hand reach.
+    room = F.octet_length(x).cast("long")
+    within = lambda n: F.when(n <= room, n).cast("int")
+    vendor = within(number(x, c, 4, True))
+    df = df.withColumns({"_first": c + vendor + 8, "_given": number(x, c + vendor + 4, 4, True)})
+    df = df.withColumn("_n", F.least(F.coalesce("_given", F.lit(0)), F.floor(room / 4)).cast("int"))
     none = F.expr("cast(array() as array<string>)")
     lines = F.aggregate(
         F.sequence(F.lit(1), F.col("_n")), F.struct(F.col("_first").alias("at"), none.alias("out")),
-        lambda s, _: F.struct((s["at"] + 4 + number(x, s["at"], 4, True).cast("int")).alias("at"), F.concat(s["out"], F.array(F.decode(F.substring(x, s["at"] + 5, number(x, s["at"], 4, True).cast("int")), "UTF-8"))).alias("out")),
+        lambda s, _: F.struct(
+            (s["at"] + 4 + within(number(x, s["at"], 4, True))).alias("at"),
+            F.when(s["at"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.make_valid_utf8(F.substring(x, s["at"] + 5, within(number(x, s["at"], 4, True))).cast("string"))))).alias("out"),
+        ),
         lambda s: s["out"],
     )
-    tags = F.transform(F.when((F.col("_b.comment") >= 0) & (F.col("_n") > 0), lines).otherwise(none), lambda t: F.struct(F.split(t, "=", 2)[0].alias("key"), F.coalesce(F.get(F.split(t, "=", 2), F.lit(1)), F.lit("")).alias("value")))
+    df = df.withColumn("_lines", F.filter(F.when((F.col("_b.comment") >= 0) & (F.col("_n") > 0), lines).otherwise(none), lambda t: t.isNotNull()))
+    tags = F.transform("_lines", lambda t: F.struct(F.split(t, "=", 2)[0].alias("key"), F.coalesce(F.get(F.split(t, "=", 2), F.lit(1)), F.lit("")).alias("value")))
     ms = F.when(F.col("rate") > 0, F.floor(F.col("samples") * 1000 / F.col("rate"))).cast("long")
-    return df.select("path", "size", "mtime", canonical(tags).alias("tags"), _properties("flac", ms, F.col("rate"), F.col("depth"), F.col("ch")), F.col("_b.art").alias("has_embedded_art"), F.lit(None).cast("string").alias("problem"))
+    return df.select("path", "size", "mtime", canonical(tags).alias("tags"), _properties("flac", ms, F.col("rate"), F.col("depth"), F.col("ch")), F.col("_b.art").alias("has_embedded_art"), F.when((F.col("_b.comment") >= 0) & (vendor.isNull() | F.col("_given").isNull() | (F.col("_given") > F.size("_lines"))), "comments end before their count says").alias("problem"))
 
 
 def _properties(codec: str, ms: Column, rate: Column, depth: Column, channels: Column) -> Column:
@@ -77,12 +85,13 @@ def _properties(codec: str, ms: Column, rate: Column, depth: Column, channels: C
 
 
 def _wav(df: DataFrame) -> DataFrame:
-    """The format and data chunks, which stand first in plain files."""
+    """The format and data chunks, where they stand first, as in plain files; other files keep their row with ``problem``."""
     x = F.col("content")
     rate, channels, depth, speed = number(x, 24, 4, True).cast("int"), number(x, 22, 2, True).cast("int"), number(x, 34, 2, True).cast("int"), number(x, 28, 4, True)
     data = number(x, 40, 4, True)
-    ms = F.when(speed > 0, F.floor(data * 1000 / speed)).cast("long")
-    return df.select("path", "size", "mtime", F.expr("cast(map() as map<string,array<string>>)").alias("tags"), _properties("pcm", ms, rate, depth, channels), F.lit(False).alias("has_embedded_art"), F.lit(None).cast("string").alias("problem"))
+    plain = F.coalesce(F.hex(F.substring(x, 37, 4)) == b"data".hex().upper(), F.lit(False))
+    ms = F.when(plain & (speed > 0), F.floor(data * 1000 / speed)).cast("long")
+    return df.select("path", "size", "mtime", F.expr("cast(map() as map<string,array<string>>)").alias("tags"), _properties("pcm", ms, rate, depth, channels), F.lit(False).alias("has_embedded_art"), F.when(~plain, "chunks stand before the data").alias("problem"))
 
 
 def read_tags(content: DataFrame) -> DataFrame:

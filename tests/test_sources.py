@@ -88,3 +88,18 @@ def test_text(spark):
     assert [one(T.number_of_path(F.lit(x))) for x in ("/a/01 - x.flac", "/a/1999.flac", "/a/000.x")] == [1, None, None]
     assert [one(T.is_under(F.lit(x), F.lit("/m/Rock"))) for x in ("/m/Rock", "/m/Rock/a", "/m/Rockabilly")] == [True, True, False]
     assert one(T.csv_line([F.lit('a"b'), F.lit("c"), F.lit(None)])) == '"a""b",c,'
+
+
+def test_damaged_heads_keep_their_rows(spark):
+    """Bytes that are no UTF-8 are replaced; lengths and counts beyond the file set ``problem``; chunks before the data too."""
+    good = flac(["TITLE=abc", "GENRE=Jazz"])
+    latin = good.replace(b"TITLE=abc", b"TITLE=\xe9bc")
+    vendor = good.replace(struct.pack("<I", 3) + b"ref", b"\xff\xff\xff\xff" + b"ref")
+    count = good.replace(struct.pack("<I", 2) + struct.pack("<I", 9), b"\xff\xff\xff\xff" + struct.pack("<I", 9))
+    listed = wav().replace(b"data", b"LIST")
+    rows = [(name, 100, 1, x) for name, x in (("good", good), ("latin", latin), ("vendor", vendor), ("count", count), ("listed", listed))]
+    out = {r["path"]: r for r in tags.read_tags(spark.createDataFrame(rows, "path string, size bigint, mtime bigint, content binary")).collect()}
+    assert out["good"]["problem"] is None and out["latin"]["problem"] is None
+    assert out["latin"]["tags"] == {"title": ["�bc"], "genre": ["Jazz"]}
+    assert out["vendor"]["problem"] and out["count"]["problem"] and out["listed"]["problem"] and out["listed"]["properties"]["duration_ms"] is None
+    assert all(out[x]["properties"]["sample_rate"] == 44100 for x in ("vendor", "count"))
