@@ -5,7 +5,9 @@ Strong kinds (assign, access, hex) are reported always.  Weak kinds are long mix
 one text reports a weak span only where a complementary part (a secret for an identifier or an address, an identifier for
 a secret) starts within ``REACH`` characters.  Places are code points, end exclusive.
 
-Null text counts as empty.  Copies give the same spans; rows that share a doc_id are told apart by their text.
+Null text counts as empty.  Copies give the same spans; rows that share a doc_id are told apart by their text.  An empty
+table gives no rows; extra columns, whatever their names, are not returned.  Every text is read once: its spans, a few numbers
+each, are frozen before they are linked.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolegraph.llm._rows import durable
+
 REACH = 200
 #: The kinds in order, their pattern and their part in a credential.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 STRONG = [("assign", ASSIGN), ("access", r"AKIA[A-Z0-9]{16,}"), ("hex", r"[0-9a-f]{24,}")]
 WEAK = [
-    ("opaque", r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/])", "secret"),
+    ("opaque", r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}(?![A-Za-z0-9+/])", "secret"),
     ("short_hex", r"(?<![0-9a-zA-Z])(?=[0-9a-f]*[0-9])[0-9a-f]{16,23}(?![0-9a-zA-Z])", "secret"),
     ("account", r"""(?i:user(?:name)?|login|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}""", "id"),
     ("endpoint", r"https?://[A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?", "endpoint"),
@@ -50,7 +54,7 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, base, spans): strong spans, and all reported spans, sorted by start, then kind."""
     t = F.coalesce(F.col(text), F.lit(""))
     found = df.select(F.col(key).alias(key), F.xxhash64(t).alias("_text"), F.concat(*[spans_of(t, p, k) for k, p in STRONG]).alias("_strong"), F.concat(*[spans_of(t, p, k) for k, p, _ in WEAK]).alias("_weak"))
-    found = found.withColumn("base", F.array_sort("_strong"))
+    found = durable(found.select(key, "_text", F.array_sort("_strong").alias("base"), "_weak"))
     # Scopes: a text and a stretch of REACH characters in it.  Of each part and stretch only the first and last place count.
     parts = (
         found.where((F.size("_weak") > 0) & (F.size("_weak") + F.size("base") > 1))

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,24 @@ def test_secrets(spark):
     assert spans[3] == "access:0:20,opaque:26:62" and spans[4] == "access:0:20" and spans[5] == ""
     assert spans[7] == "account:0:14,endpoint:18:40,assign:41:59"
     assert secrets.report(df.where("false")).count() == 0
+    wide = df.where("doc_id = 3").selectExpr("*", "1 base", "2 _weak", "3 spans", "4 _text")
+    assert [r["spans"] for r in secrets.report(wide).collect()] == ["access:0:20,opaque:26:62"]
+
+
+def test_linked_spans_against_every_pair(spark):
+    """Weak spans against a plain comparison of all spans of a text; tokens of any length, long texts."""
+    r, kinds = random.Random(11), {k: re.compile(p) for k, p in secrets.STRONG[1:]} | {k: re.compile(p) for k, p, _ in secrets.WEAK}
+    parts = ["AKIA" + "B" * 16, "Ab1" * 12, "Zz9" * 30, "0123456789abcdef0", "user=somebody", "https://h.example.org:80", "word", "other words here", "f0" * 13]
+    rows = [(i, " ".join(r.choice(parts[6:8] if r.random() < 0.7 else parts) for _ in range(r.randint(1, 300)))) for i in range(40)] + [(99, "lorem ipsum " * 60_000 + " ".join(parts))]
+    want = {}
+    for d, text in rows:
+        spans = [(m.start(), secrets.ORDER[k], m.end(), k) for k, p in kinds.items() for m in p.finditer(text)]
+        secret = {x: secrets.PART[x[3]] == "secret" for x in spans}
+        weak = [x for x in spans if x[1] >= len(secrets.STRONG)]
+        keep = {x for x in weak if any(secret[x] != secret[y] and abs(x[0] - y[0]) <= secrets.REACH for y in spans)}
+        want[d] = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(x for x in spans if x[1] < len(secrets.STRONG) or x in keep))
+    got = {x["doc_id"]: x["spans"] for x in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def test_urls(spark):
