@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from rolegraph.llm._rows import durable
 
 REACH = 200
+#: Matches of a text are placed in runs of this many, so that work grows with their number and not with its square.
+RUN = 256
 #: The kinds in order, their pattern and their part in a credential.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 STRONG = [("assign", ASSIGN), ("access", r"AKIA[A-Z0-9]{16,}"), ("hex", r"[0-9a-f]{24,}")]
@@ -32,9 +34,12 @@ ORDER = {k: i for i, k in enumerate([*(k for k, _ in STRONG), *(k for k, _, _ in
 
 
 def spans_of(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct<start,rank,end,kind>> of the leftmost matches: lengths of what lies between them and of them, added up."""
+    """array<struct<start,rank,end,kind>> of the leftmost matches: lengths of what lies between them and of them, added up.
+
+    An array that is added to is copied, so places are added up within runs of RUN matches, and runs are put together.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
     steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
 
     def walk(acc: Column, x: Column) -> Column:
@@ -46,8 +51,17 @@ def spans_of(text: Column, pattern: str, kind: str) -> Column:
             return F.struct(end.alias("at"), F.when(enough, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
-    return F.when(text.rlike(pattern), F.aggregate(steps, state, walk, lambda acc: acc["out"])).otherwise(none)
+    def placed(all_steps: Column) -> Column:
+        def walk_run(acc: Column, first: Column) -> Column:
+            state = F.struct(acc["at"].alias("at"), none.alias("out"))
+            return F.aggregate(F.slice(all_steps, first, F.lit(RUN)), state, walk, lambda run: F.struct(run["at"].alias("at"), F.concat(acc["out"], F.array(run["out"])).alias("out")))
+
+        runs = F.sequence(F.lit(1), F.greatest(F.size(all_steps), F.lit(1)), F.lit(RUN))
+        state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,rank:int,end:int,kind:string>>>)").alias("out"))
+        return F.aggregate(runs, state, walk_run, lambda acc: F.flatten(acc["out"]))
+
+    # The steps are an element of an array here, so that they are made once and not for each run.
+    return F.when(text.rlike(pattern), F.flatten(F.transform(F.array(steps), placed))).otherwise(none)
 
 
 def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
