@@ -6,13 +6,15 @@ normalised text once; hits are mapped back to words, and on demand to offsets in
 
 Null text has no words.  Equal items and windows share a pattern that carries all their item ids; a null item id counts as
 none.  Repeated documents get a row each.  The automaton is built once in a Python worker, from a broadcast of at most
-``MOST_PATTERN_BYTES``; larger benchmarks are scanned in as many rounds as they need, each with an automaton of that size.
+``MOST_PATTERN_BYTES``.  A larger benchmark takes as many rounds as it needs, one automaton and one step of the plan each, so
+neither the driver nor a worker holds more than one round's windows; texts are written once and read in each round.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolegraph.llm._rows import Stored, fresh
 from rolegraph.llm._text import column_bytes
 
 WINDOW = 13
@@ -56,9 +59,9 @@ def _automaton(name: str, patterns: list[tuple[str, int, list[str]]]) -> ahocora
     return _built[name]
 
 
-def _rounds(benchmark: DataFrame) -> list[list[tuple[str, int, list[str]]]]:
-    """Patterns for the rounds of scanning, each of MOST_PATTERN_BYTES at most; rows arrive one partition at a time."""
-    out, held = [], 0
+def _rounds(benchmark: DataFrame) -> Iterator[list[tuple[str, int, list[str]]]]:
+    """Patterns for the rounds of scanning, each of MOST_PATTERN_BYTES and one item at most; rows arrive one partition at a time."""
+    held, any_yet = 0, False
     table: dict[str, tuple[int, set[str]]] = {}
     for r in benchmark.where("item_id is not null").select("item_id", "text").orderBy("item_id").toLocalIterator():
         for p, (n, ids) in windows([(r[0], r[1])]).items():
@@ -66,56 +69,71 @@ def _rounds(benchmark: DataFrame) -> list[list[tuple[str, int, list[str]]]]:
                 held += len(p)
             table.setdefault(p, (n, set()))[1].update(ids)
         if held > MOST_PATTERN_BYTES:
-            out.append([(p, n, sorted(i)) for p, (n, i) in table.items()])
-            table, held = {}, 0
-    return [*out, [(p, n, sorted(i)) for p, (n, i) in table.items()]]
+            yield [(p, n, sorted(i)) for p, (n, i) in table.items()]
+            table, held, any_yet = {}, 0, True
+    if table or not any_yet:
+        yield [(p, n, sorted(i)) for p, (n, i) in table.items()]
 
 
-SCHEMA = "n_words long, hit_words array<int>, items array<string>"
+FOUND = "n_words long, hit_words array<int>, items array<string>"
+
+
+def _round(docs: DataFrame, patterns: list[tuple[str, int, list[str]]]) -> DataFrame:
+    """``docs`` with n_words, hit_words and items of one automaton; hit_words and items are null where nothing is hit."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(patterns), hashlib.sha256(repr(patterns).encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = _automaton(name, shared.value)
+        for batch in batches:
+            data, offs = column_bytes(batch.column("text"))
+            counts, hits, items = [], [], []
+            for i in range(batch.num_rows):
+                w = normal(data[offs[i] : offs[i + 1]].tobytes())
+                counts.append(len(w))
+                found = []
+                text = ""
+                if w and len(a):
+                    text = (b" " + b" ".join(w) + b" ").decode("latin-1")
+                    found = list(a.iter(text))
+                if not found:
+                    hits.append(None)
+                    items.append(None)
+                    continue
+                gaps = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
+                last = np.searchsorted(gaps, [e for e, _ in found])  # the window's closing space, so its last word is one before
+                mark = np.zeros(len(w) + 1, np.int64)
+                for e, (_, (n, _)) in zip(last, found, strict=True):
+                    mark[e - n] += 1
+                    mark[e] -= 1
+                hits.append(np.flatnonzero(mark.cumsum()[:-1] > 0).astype(np.int32))
+                items.append(sorted({x for _, (_, ids) in found for x in ids}))
+            more = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "n_words", "hit_words", "items"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{kinds}, {FOUND}")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` (all columns) with n_words, hit_words (places of hit words, from 0) and items (sorted ids)."""
-    sc = docs.sparkSession.sparkContext
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs
-    for k, patterns in enumerate(_rounds(benchmark)):
-        shared, name = sc.broadcast(patterns), hashlib.sha256(repr(patterns).encode()).hexdigest()
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
-            a = _automaton(name, shared.value)
-            for batch in batches:
-                data, offs = column_bytes(batch.column("text"))
-                counts, hits, items = [], [], []
-                for i in range(batch.num_rows):
-                    w = normal(data[offs[i] : offs[i + 1]].tobytes())
-                    counts.append(len(w))
-                    found = []
-                    text = ""
-                    if w and len(a):
-                        text = (b" " + b" ".join(w) + b" ").decode("latin-1")
-                        found = list(a.iter(text))
-                    if not found:
-                        hits.append(None)
-                        items.append(None)
-                        continue
-                    gaps = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-                    last = np.searchsorted(gaps, [e for e, _ in found])  # the window's closing space, so its last word is one before
-                    mark = np.zeros(len(w) + 1, np.int64)
-                    for e, (_, (n, _)) in zip(last, found, strict=True):
-                        mark[e - n] += 1
-                        mark[e] -= 1
-                    hits.append(np.flatnonzero(mark.cumsum()[:-1] > 0).astype(np.int32))
-                    items.append(sorted({x for _, (_, ids) in found for x in ids}))
-                more = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(f"{c}_{k}" for c in ("n_words", "hit_words", "items"))])
-
-        more = ", ".join(f"{c}_{k} {t}" for c, t in (("n_words", "long"), ("hit_words", "array<int>"), ("items", "array<string>")))
-        out = out.mapInArrow(run, f"{kinds}, {more}")
-        kinds = f"{kinds}, {more}"
-    rounds = range(k + 1)
-    some = lambda c, kind: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(f"{c}_{i}", F.expr(f"cast(array() as array<{kind}>)")) for i in rounds]))))
-    return out.select(*docs.columns, F.col("n_words_0").alias("n_words"), some("hit_words", "int").alias("hit_words"), some("items", "string").alias("items"))
+    rounds = _rounds(benchmark)
+    first, second = next(rounds), next(rounds, None)
+    some = lambda c, kind: F.array_sort(F.array_distinct(F.coalesce(c, F.expr(f"cast(array() as array<{kind}>)"))))
+    if second is None:
+        out = _round(docs, first)
+    else:
+        at = fresh(docs, "_at")
+        table = Stored(_round(docs.withColumn(at, F.monotonically_increasing_id()), first)).read()
+        # Each later round writes the few documents that it hits: no row grows with the number of rounds.
+        parts = [table.where("hit_words is not null").select(at, "hit_words", "items")]
+        for patterns in chain([second], rounds):
+            parts.append(Stored(_round(table.select(at, "text"), patterns).where("hit_words is not null").select(at, "hit_words", "items")).read())
+        hits = parts[0]
+        for part in parts[1:]:
+            hits = hits.unionAll(part)
+        hits = hits.groupBy(F.col(at).alias("_hit")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hit_words", "items")])
+        out = table.drop("hit_words", "items").join(hits, F.col(at) == F.col("_hit"), "left")
+    return out.select(*docs.columns, "n_words", some("hit_words", "int").alias("hit_words"), some("items", "string").alias("items"))
 
 
 def contaminated() -> Column:
