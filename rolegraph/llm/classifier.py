@@ -1,8 +1,8 @@
 """Operator 3: ordinal quality classifier, a cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold_k - w.x) with one weight vector for hashed words, shared by all grades, and ordered
-thresholds.  ``fit`` uses at most ``bound`` labelled rows (those whose hashed key is smallest, so the choice does not hang
-on partitions); ``score`` reads every whole text.  Grades in this library: 0 toxic, 1 poor, 2 good.
+thresholds.  ``fit`` uses at most ``bound`` labelled rows with ``most`` features in all (those whose hashed key is smallest, so
+the choice does not hang on partitions); ``score`` reads every whole text.  Grades in this library: 0 toxic, 1 poor, 2 good.
 
 Null and empty texts have no words and get the prior.  Rows without a rating are not fitted; without any rating there is no
 model, scores are null and all rows are kept.  Rows alike get equal scores; extra columns are not returned.
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolegraph.llm._rows import durable
 from rolegraph.llm._text import FOLD, lists, prefix_codes, slices, span_codes, words
 
 #: Hash buckets for words; bins of document shares follow them.
@@ -25,8 +26,8 @@ BUCKETS, BINS = 1 << 18, 16
 N_FEATURES = BUCKETS + 5 * BINS
 #: Values of a present word and of a document's share: many words are there by chance, shares are few.
 WORD_VALUE, SHARE_VALUE = 1.0, 32.0
-#: Most labelled rows that a model is fitted on.
-FIT_ROWS = 12_000
+#: Most labelled rows that a model is fitted on, and most features (4 bytes each) of these rows in all.
+FIT_ROWS, FIT_FEATURES = 12_000, 16_000_000
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 UPPER = np.zeros(256, bool)
@@ -112,8 +113,11 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades:
     return Ordinal(weights, np.concatenate([free[len(kept) : len(kept) + 1], np.exp(free[len(kept) + 1 :])]).cumsum())
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = 3, bound: int = FIT_ROWS) -> Ordinal | None:
-    """A model from the rows of ``ratings`` (doc_id and what ``grade`` needs) whose text is in ``docs``; None without any."""
+def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = 3, bound: int = FIT_ROWS, most: int = FIT_FEATURES) -> Ordinal | None:
+    """A model from the rows of ``ratings`` (doc_id and what ``grade`` needs) whose text is in ``docs``; None without any.
+
+    Rows are taken by hashed key as long as their features stay within ``most``; the first one is taken at any length.
+    """
     rated = ratings.select(F.col("doc_id").alias("_rated"), grade.cast("int").alias("_grade")).where("_rated is not null and _grade is not null")
     chosen = rated.orderBy(F.xxhash64("_rated"), "_rated", "_grade").limit(bound)  # at most ``bound`` rows are broadcast and collected
 
@@ -121,12 +125,17 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = 3, bou
         for batch, data, offs in slices(batches):
             row, feature = features(data, offs)
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("_grade"), lists([feature[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.int32())], ["grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_grade"), lists([feature[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.int32())], ["doc_id", "grade", "features"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_rated")).select("text", "_grade").mapInArrow(extract, "grade int, features array<int>").toArrow()
-    if not got.num_rows:
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, features array<int>"
+    rows = durable(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_rated")).select("doc_id", "text", "_grade").mapInArrow(extract, kinds))
+    # A running sum for each value of the hash: one number for each fitted key, so at most ``bound`` of them.
+    sizes = rows.groupBy(F.xxhash64("doc_id").alias("h")).agg(F.sum(F.size("features")).alias("n")).orderBy("h").collect()
+    if not sizes:
         return None
-    got = got.combine_chunks()
+    total = np.cumsum([r["n"] for r in sizes])
+    last = sizes[max(int(np.searchsorted(total, most, "right")) - 1, 0)]["h"]
+    got = rows.where(F.xxhash64("doc_id") <= last).select("grade", "features").toArrow().combine_chunks()
     feats = got.column("features").combine_chunks()
     flat, size, given = feats.flatten().to_numpy(zero_copy_only=False), np.diff(feats.offsets.to_numpy()), got.column("grade").to_numpy()
     del got, feats
