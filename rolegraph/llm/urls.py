@@ -5,14 +5,17 @@ pair of its host and the directory part of its path.  Pairs meet on the first fo
 only if the full digest agrees and the path starts with the rule's whole path.  The longest rule wins; of equally long ones
 block wins, then the smaller rule.
 
-A null url, or one without ``://``, has an empty host and path and no rule.  Repeated rows and extra columns stay.
+A null url, or one without ``://``, has an empty host and path and no rule.  Repeated rows and extra columns of any name stay.
+A rule that lacks its host, path or verdict is none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolegraph.llm._rows import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this many are broadcast (about 200 bytes each: 20 MB at most); beyond it both sides are shuffled, salted.
 BROADCAST_RULES = 100_000
@@ -40,7 +43,8 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` and ``verdict``; columns of these names in ``df`` are replaced."""
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    filed = rules.where(F.col("rule_host").isNotNull() & F.col("rule_path").isNotNull()).select(
+    asking, best_of = fresh(df, "_url"), fresh(df, "_best")
+    filed = rules.where("rule_host is not null and rule_path is not null and rule_verdict is not null").select(
         F.translate("rule_host", UPPER, LOWER).alias("rule_host"), "rule_path", "rule_verdict"
     ).dropDuplicates()
     filed = filed.withColumn("_digest", F.sha2(F.concat("rule_host", F.lit("\n"), directory(F.col("rule_path"))), 256)).withColumn("_short", F.substring("_digest", 1, 8))
@@ -71,6 +75,6 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     met = met.where((F.col("_asked") == F.col("_digest")) & F.col("path").startswith(F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
     rank = F.struct(F.length(rule).alias("n"), (F.col("rule_verdict") == "block").alias("b"), rule.alias("rule"), F.col("rule_verdict").alias("verdict"))
-    best = met.groupBy("_url").agg(F.max(rank).alias("_best"))
-    back = df.select(*keep).join(best, F.col(url) == F.col("_url"), "left")
-    return back.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    best = met.groupBy(F.col("_url").alias(asking)).agg(F.max(rank).alias(best_of))
+    back = df.select(*keep).join(best, F.col(url) == F.col(asking), "left")
+    return back.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(best_of)["rule"].alias("rule"), F.coalesce(F.col(best_of)["verdict"], F.lit(default)).alias("verdict"))
