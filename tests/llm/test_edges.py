@@ -127,6 +127,36 @@ def test_linked_spans_against_every_pair(spark):
     assert got == want
 
 
+def test_many_hits(spark):
+    """More matches than a run of places holds, with characters of several bytes between them."""
+    text = " é ".join(f"token={'x' * (3 + i % 9)}" for i in range(3 * secrets.RUN + 5)) + " AKIA" + "Q" * 20
+    (got,) = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert tuple(got)[1:5] == brute.secrets(text) and got["n_assign"] > secrets.RUN
+
+
+def test_columns_of_any_name_stay(spark):
+    rules = urls.rule_table(spark, [("net", "/", "block"), ("a.net", "/", None)])
+    wide = spark.createDataFrame([(1, "http://a.net/x", "p", "q")], "page_id int, url string, _url string, _best string")
+    assert [tuple(r) for r in urls.filter_urls(wide, rules).collect()] == [(1, "http://a.net/x", "p", "q", "a.net", "/x", "net/", "block")]
+    wide = spark.createDataFrame([(1, "a b a b a b c", "p", "q", "r")], "doc_id int, text string, _words string, _again string, _codes string")
+    (got,) = quality_rules.judge(wide).collect()
+    assert (got["_words"], got["_again"], got["_codes"], got["n_repeat_words"]) == ("p", "q", "r", brute.rules("a b a b a b c")[4])
+
+
+def test_decontamination_in_rounds(spark, odd, none, monkeypatch):
+    """A benchmark beyond one automaton gives the same rows, in documents that several rounds hit too."""
+    items = [(1, "one two three four five six seven eight nine ten a"), (2, None), (4, "A b C"), (5, "c d"), (6, "d e"), (7, "zwölf"), (8, "one two three")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute.contamination(named(texts()), items)
+    monkeypatch.setattr(decontamination, "MOST_PATTERN_BYTES", 1)
+    assert len(list(decontamination._rounds(bench))) == 6
+    wide = odd.withColumns({"_at": F.lit("kept"), "_hit": F.lit("too")})
+    assert {r["doc_id"]: tuple(r)[1:] for r in decontamination.report(wide, bench).where("doc_id is not null").collect()} == want
+    clean = decontamination.clean(wide, bench)
+    assert clean.columns == wide.columns and {r["doc_id"] for r in clean.where("doc_id is not null").collect()} == {d for d, t in named(texts()) if not want[d][-1]}
+    assert decontamination.report(none, bench).count() == 0
+
+
 def test_urls(spark):
     rules = urls.rule_table(spark, [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.b", "/x", "block"), ("a.b", "/x", "block"), (None, "/", "block")])
     rows = [(1, None), (2, "no scheme"), (3, "http://EXAMPLE.net"), (4, "http://w.Example.net/en/x?q"), (5, "ftp://q.a.b/xyz#f"), (6, "http://net/"), (6, "http://net/"), (7, "http://fnet/"), (8, "x://y://net/"), (9, "http://a.b/" + "d/" * 2000)]
@@ -173,6 +203,15 @@ def test_classifier(spark, odd, none):
     assert classifier.score(none, model).count() == 0
 
 
+def test_fitted_features_are_bounded(spark, odd):
+    """Rows are fitted by hashed key up to a number of features; a larger bound changes nothing."""
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(1, 30)], "doc_id bigint, quality int, toxic int")
+    fitted = lambda most: classifier.fit(odd, labels, classifier.grade_of(), most=most)
+    every, same, one = fitted(classifier.FIT_FEATURES), fitted(10**9), fitted(1)
+    assert (every.weights == same.weights).mean() > 0.999 and abs(every.weights - same.weights).max() < 1e-6
+    assert 0 < (one.weights != 0).sum() < (every.weights != 0).sum()
+
+
 def test_stages_on_odd_tables(spark, odd, none, tmp_path):
     labels = spark.createDataFrame([(4, 1, 0), (9, 0, 0), (7, 0, 1)], "doc_id bigint, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
