@@ -179,6 +179,23 @@ class Library:
             rows = lookups.exact_or_partial(rows, "key", title)
         return page.of(rows.orderBy("path"))
 
+    def selection(self, text: str) -> DataFrame:
+        """(path, title, part): tracks whose title holds the text (part 0), then those whose comment alone does (part 1)."""
+        rows, holds = self.catalog.file, lambda c: normalize(c).contains(normalize(F.lit(text)))
+        return lookups.append_distinct([rows.where(holds(c)).select("path", "title") for c in (F.col("title"), first("comment"))], "path")
+
+    def track_records(self) -> DataFrame:
+        """One nested row a track: its place, quality, all its tags with their values joined, and its credits by role and name."""
+        c = self.catalog
+        named = c.artist.select(F.col("key").alias("artist_key"), "name")
+        held = c.credit.where("entity_kind = 'track'").select(F.col("entity_key").alias("path"), "role", "artist_key").join(named, "artist_key")
+        credits_of = held.groupBy("path").agg(F.sort_array(F.collect_set(F.struct("role", "name"))).alias("credits"))
+        album = c.release.select("release_key", F.col("title").alias("album"), "year")
+        rows = c.file.join(album, "release_key", "left").join(credits_of, "path", "left")
+        tags = F.transform_values("tags", lambda k, v: F.array_join(v, " / ")).alias("tags")
+        none = F.expr("cast(array() as array<struct<role:string,name:string>>)")
+        return rows.select("path", "title", "album", "year", position(F.col("disc_no"), F.col("track_no")).alias("position"), "duration_ms", "quality", tags, F.coalesce("credits", none).alias("credits"))
+
     def track_page(self, path: str) -> dict[str, DataFrame]:
         """What is known of one track: its file, its place, who holds which role, and other files of its title and artist."""
         c = self.catalog

@@ -32,6 +32,17 @@ def ranked_search(tables: list[tuple[str, DataFrame, str, str]], text: str, limi
     return out.orderBy("score", "_rank", F.octet_length("name"), "name", "id").limit(limit).drop("_rank")
 
 
+def append_distinct(parts: list[DataFrame], key: str) -> DataFrame:
+    """The rows of the first table, then those of each next one whose key is not there yet; ``part`` counts tables from 0."""
+    out = None
+    for rank, df in enumerate(parts):
+        one = df.withColumn("part", F.lit(rank))
+        out = one if out is None else out.unionByName(one)
+    names = [c for c in out.columns if c != key]
+    kept = out.groupBy(key).agg(F.min(F.struct(F.col("part").alias("_first"), *names)).alias("_row"))
+    return kept.select(key, *[F.col(f"_row.{c}").alias(c) for c in names]).orderBy("part", key)
+
+
 @dataclass(frozen=True)
 class Page:
     """A window of a listing: ``limit`` rows (None: all) from ``offset`` on."""

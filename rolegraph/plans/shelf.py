@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from rolegraph.api import Library
 from rolegraph.functions import text as T
 from rolegraph.operators.lookups import Page
+from rolegraph.functions.quality import is_hi_res
 from rolegraph.plans import analyses, catalog, export, incremental, stats
+from rolegraph.sources.listing import top_places, watched
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -385,3 +387,79 @@ def lib_rescan(spark, sf_dir):
 def lib_shown(spark, sf_dir):
     c = library(spark, sf_dir).catalog
     return c.file.select("path", T.format_size(F.col("size")).alias("size"), T.long_duration(F.col("duration_ms")).alias("duration"))
+
+
+@query("""SELECT path, 'track ' || no AS position, quality, 'Album of ' || label || ' ' || cust AS album, CASE WHEN st <> 'P' THEN 'Song ' || k END AS tagged,
+  coalesce((SELECT string_agg(role || ': ' || name, ', ' ORDER BY role, name) FROM cr WHERE cr.path = g.path), '') AS credits FROM g""")
+def lib_track_records(spark, sf_dir):
+    who = F.array_join(F.transform("credits", lambda c: F.concat_ws(": ", c["role"], c["name"])), ", ").alias("credits")
+    return library(spark, sf_dir).track_records().select("path", "position", "quality", "album", F.try_element_at("tags", F.lit("title")).alias("tagged"), who)
+
+
+@query("SELECT path, title, CASE WHEN contains(lower(title), 'o') THEN 0 ELSE 1 END AS part FROM f WHERE contains(lower(title), 'o') OR (st = 'F' AND contains(lower(label), 'o'))")
+def lib_selection(spark, sf_dir):
+    return library(spark, sf_dir).selection("O")
+
+
+@query("SELECT path, title, 1 AS part FROM f WHERE st = 'F' AND label = 'BUILDING'")
+def lib_selection_by_comment(spark, sf_dir):
+    return library(spark, sf_dir).selection("building")
+
+
+@query("SELECT coalesce(state, 'not_verified') AS state, count(*) AS files FROM f WHERE shelf = 'b' OR (shelf = 'm' AND nation = 1) GROUP BY 1")
+def lib_scope(spark, sf_dir):
+    """Places at the border of a name: ``/m/n1`` is not the parent of ``/m/n10``."""
+    return library(spark, sf_dir).integrity(["/b", "/m/n1/"])
+
+
+@query("SELECT path, quality, urgent AND NOT lossy AS hi_res, 'track ' || no AS position, CASE WHEN rate = 96000 THEN '96 kHz' ELSE '44.1 kHz' END AS rate FROM g")
+def lib_qualities(spark, sf_dir):
+    p = lambda name: F.col(f"properties.{name}")
+    shown = [is_hi_res(p("lossless"), p("sample_rate"), p("bit_depth")).alias("hi_res"), T.position(F.col("disc_no"), F.col("track_no")).alias("position"), T.format_rate(p("sample_rate")).alias("rate")]
+    return library(spark, sf_dir).catalog.file.select("path", "quality", *shown)
+
+
+@query("SELECT path, no AS number, title FROM f")
+def lib_names_of_paths(spark, sf_dir):
+    """Titles and numbers read back from paths that hold them."""
+    named = F.concat(T.folder(F.col("path")), F.lit("/"), F.lpad(F.col("track_no").cast("string"), 2, "0"), F.lit(" - "), F.col("title"), F.lit(".flac"))
+    return library(spark, sf_dir).catalog.file.select("path", T.number_of_path(named).alias("number"), T.title_of_path(named).alias("title"))
+
+
+PLAYED = "SELECT DISTINCT folder FROM cr WHERE name = 'Supplier#000000001' AND role IN ('main', 'performer')"
+
+
+@query(f"SELECT folder, album AS title, yr AS year FROM r WHERE folder IN ({PLAYED})")
+def lib_guest(spark, sf_dir):
+    c = library(spark, sf_dir)
+    return c.artist("supplier#000000001")["guest"].join(c.catalog.release.select("release_key", "folder"), "release_key").drop("release_key")
+
+
+@query(f"SELECT folder, album AS title, yr AS year FROM r WHERE folder IN (SELECT folder FROM cr WHERE name = 'Supplier#000000001' AND role = 'composer') AND folder NOT IN ({PLAYED})")
+def lib_written(spark, sf_dir):
+    c = library(spark, sf_dir)
+    return c.artist("supplier#000000001")["written"].join(c.catalog.release.select("release_key", "folder"), "release_key").drop("release_key")
+
+
+@query(f", {RECORDS} SELECT place AS path FROM out WHERE outcome = 'waiting'")
+def lib_pending(spark, sf_dir):
+    c = library(spark, sf_dir).imported(records(spark, sf_dir)).catalog
+    return analyses.pending(c.analysis, c.file).select("path")
+
+
+@query(f", {RECORDS} SELECT 'other' AS forgotten, count(*) AS kept FROM out WHERE outcome <> 'stale' UNION ALL SELECT 'meter', 0 UNION ALL SELECT 'all', 0")
+def lib_forgotten(spark, sf_dir):
+    c = library(spark, sf_dir).imported(records(spark, sf_dir))
+    kept = lambda name, source: c.forget(source).catalog.analysis.agg(F.lit(name).alias("forgotten"), F.count("*").alias("kept"))
+    return kept("other", "other").unionAll(kept("meter", "meter")).unionAll(kept("all", None))
+
+
+@query("SELECT DISTINCT folder AS place FROM f WHERE NOT (shelf = 'm' AND nation = 1) AND shelf <> 'b' UNION ALL SELECT '/m/n1' UNION ALL SELECT '/b'")
+def lib_places(spark, sf_dir):
+    folders = scanned(spark, sf_dir).select(T.folder(F.col("path")).alias("place"))
+    return top_places(folders.unionByName(spark.createDataFrame([("/m/n1/",), ("/b",), ("/b/n1",)], "place string")))
+
+
+@query("SELECT '/m' AS place UNION ALL SELECT DISTINCT folder FROM f WHERE shelf <> 'm'")
+def lib_watched(spark, sf_dir):
+    return watched(scanned(spark, sf_dir).select(T.folder(F.col("path")).alias("place")), spark.createDataFrame([("/m",)], "place string"))

@@ -48,6 +48,22 @@ def covers(files: DataFrame) -> DataFrame:
     return ranked.groupBy(folder(F.col("path")).alias("folder")).agg(F.min_by("path", F.struct("_rank", "path")).alias("folder_cover"))
 
 
+def top_places(places: DataFrame, place: str = "place") -> DataFrame:
+    """Distinct places without those that lie inside another one; a trailing slash makes no difference."""
+    clean = places.where(F.col(place).isNotNull()).select(F.coalesce(F.nullif(F.regexp_replace(place, "/+$", ""), F.lit("")), F.lit("/")).alias(place)).distinct()
+    # Each place asks for its own parents, so the join is on equal paths and grows with depth, not with pairs of places.
+    parts = F.split(place, "/")
+    parents = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.coalesce(F.nullif(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("")), F.lit("/")))
+    asked = clean.where(F.col(place) != "/").select(place, F.explode(parents).alias("_parent"))
+    inside = asked.join(clean.select(F.col(place).alias("_parent")), "_parent", "left_semi").select(place)
+    return clean.join(inside, place, "left_anti")
+
+
+def watched(known: DataFrame, given: DataFrame, replace: bool = False, place: str = "place") -> DataFrame:
+    """The places to scan from now on: ``given`` beside those known, or, with ``replace``, alone; nested ones are dropped."""
+    return top_places(given.select(place) if replace else known.select(place).unionByName(given.select(place)), place)
+
+
 def in_scope(files: DataFrame, places: list[str]) -> DataFrame:
     """Files under any of the places; without places, all."""
     if not places:

@@ -103,3 +103,18 @@ def test_damaged_heads_keep_their_rows(spark):
     assert out["latin"]["tags"] == {"title": ["�bc"], "genre": ["Jazz"]}
     assert out["vendor"]["problem"] and out["count"]["problem"] and out["listed"]["problem"] and out["listed"]["properties"]["duration_ms"] is None
     assert all(out[x]["properties"]["sample_rate"] == 44100 for x in ("vendor", "count"))
+
+
+def test_places_and_parts(spark):
+    """Nested places go, whatever their slashes; the first table that holds a key keeps it."""
+    from rolegraph.operators.lookups import append_distinct
+    from rolegraph.sources.listing import top_places, watched
+
+    places = lambda *names: spark.createDataFrame([(n,) for n in names], "place string")
+    top = lambda df: sorted(r[0] for r in df.collect())
+    assert top(top_places(places("/a/b", "/a/b/", "/a/bc", "/a/b/c/d", None))) == ["/a/b", "/a/bc"]
+    assert top(top_places(places("/", "/a"))) == ["/"] and top(top_places(places())) == []
+    assert top(watched(places("/a", "/b"), places("/b/c", "/c"))) == ["/a", "/b", "/c"]
+    assert top(watched(places("/a", "/b"), places("/b/c"), replace=True)) == ["/b/c"]
+    parts = [spark.createDataFrame(rows, "path string, title string") for rows in ([("b", "1"), ("b", "1")], [("a", None), ("b", "2")], [("c", "3"), ("a", "4")])]
+    assert [tuple(r) for r in append_distinct(parts, "path").collect()] == [("b", "1", 0), ("a", None, 1), ("c", "3", 2)]
