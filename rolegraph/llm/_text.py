@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -14,8 +15,14 @@ _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = int(_rng.integers(2**62, 2**63)) | 1
 PLACE = _rng.integers(0, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
-#: The same for a second, independent code, which confirms where the first alone would decide.
-CHECK_CODE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Odd multipliers that bring two hashes of a word or a block together.
+JOIN = _rng.integers(0, 2**63, 8, dtype=np.uint64) * U(2) + U(1)
+#: Places of a text that are hashed at a time.
+BLOCK = 1 << 15
+#: Longer words than this are hashed one by one.
+LONG_WORD = 256
+#: The lowest k bytes of 64 bits.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 #: Bytes that divide words: space and \t to \r.  Bytes from 0x80 on belong to words.
 SPACED = np.ones(256, bool)
@@ -51,11 +58,15 @@ class _Powers:
 POWERS = _Powers()
 
 
-def prefix_codes(data: np.ndarray, table: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """Running sums of coded bytes; ``span_codes`` reads the code of any substring from them."""
+def prefix_codes(data: np.ndarray) -> np.ndarray:
+    """Running sums of coded bytes; ``span_codes`` reads the code of any substring from them.
+
+    Such a code is a polynomial modulo 2**64, and texts of a certain make (Thue-Morse words of two letters) share it whatever
+    the base.  So it may filter, but never decides alone: see ``word_codes`` and ``block_codes``.
+    """
     up, _ = POWERS.get(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[: len(data)], out=out[1:])
+    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=out[1:])
     return out
 
 
@@ -65,6 +76,52 @@ def span_codes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * PLACE[63])
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the end."""
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.uint64, held, strides=(1,))
+
+
+def chained(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: blocks of eight bytes, each scrambled into the hash of those before it."""
+    at8, size = eights(data), end - start
+    h = mix(size.astype(np.uint64) * JOIN[0])
+    left = np.flatnonzero(size <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        if not len(left):
+            break
+        rest = size[left] - k
+        h[left] = mix(h[left] ^ (at8[start[left] + k] & _LOW[np.minimum(rest, 8)])) * JOIN[1]
+        left = left[rest > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), 20240229)
+    return h
+
+
+def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit codes of each word, each from its polynomial code and its chained hash."""
+    poly, chain = span_codes(prefix_codes(data), start, end), chained(data, start, end)
+    return mix(poly ^ (chain * JOIN[2])), mix(poly * JOIN[3] + (chain ^ (chain >> U(31))))
+
+
+def block_codes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` (8 or more) bytes from each place on: hashes of 8 bytes are scrambled in pairs into those
+    of 16, 32 and so on; the last pair overlaps.  Places with fewer bytes behind them are left out."""
+    if len(data) < size:
+        return np.zeros(0, np.uint64)
+    if len(data) > BLOCK + size:  # pieces that stay in a core's cache
+        return np.concatenate([block_codes(data[i : i + BLOCK + size - 1], size) for i in range(0, len(data) - size + 1, BLOCK)])
+    h, n = mix(eights(data)[: len(data) - 7]), 8
+    while n < size:
+        step = min(n, size - n)
+        h = h[:-step] * JOIN[4] + (h[step:] ^ (h[step:] >> U(29))) * JOIN[5]
+        h ^= h >> U(32)
+        h *= JOIN[6]
+        h ^= h >> U(29)
+        n += step
+    return h
+
+
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column in a row, and the n + 1 offsets of its values; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

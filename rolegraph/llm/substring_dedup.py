@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rolegraph.llm._meet import PACKED, buckets_for, keyed, meet, send, places
 from rolegraph.llm._rows import durable
-from rolegraph.llm._text import CHECK_CODE, prefix_codes, slices, span_codes, window_codes, words
+from rolegraph.llm._text import slices, window_codes, word_codes, words
 
 WINDOW = 50
 #: A perfect difference set: every difference modulo 31 is one of two of its members.
@@ -31,9 +31,10 @@ _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
 
 
-def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The offsets of each row's words, and two codes of each word."""
     start, end, rows = words(data, offs)
-    return start, end, rows, span_codes(prefix_codes(data), start, end)
+    return rows, *word_codes(data, start, end)
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +47,7 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches):
             key, row = _columns(batch)
-            _, _, rows, code = _words(data, offs)
+            rows, code, _ = _words(data, offs)
             anchor, at = window_codes(code, rows, ANCHOR)
             doc = np.searchsorted(rows, at, "right") - 1
             pos = at - rows[doc]
@@ -62,9 +63,9 @@ def windows(docs: DataFrame, anchored: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in slices(batches):
             key, row = _columns(batch)
-            start, end, rows, code = _words(data, offs)
+            rows, code, second = _words(data, offs)
             window, at = window_codes(code, rows, WINDOW)
-            check, _ = window_codes(span_codes(prefix_codes(data, CHECK_CODE), start, end), rows, WINDOW)
+            check, _ = window_codes(second, rows, WINDOW)
             doc = np.searchsorted(rows, at, "right") - 1
             # a window is asked for if an anchor within it is shared
             mark = np.zeros(len(code) + 1, np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rolegraph.llm._meet import PACKED, buckets_for, meet, places, send
 from rolegraph.llm._rows import Stored, durable, loose
-from rolegraph.llm._text import CHECK_CODE, prefix_codes, slices, span_codes
+from rolegraph.llm._text import block_codes, prefix_codes, slices, span_codes
 
 LENGTH = 200
 #: A perfect difference set: every difference modulo 133 is one of two of its members.
@@ -89,7 +89,7 @@ def suffixes(near: DataFrame, buckets: int, block: int, blocks: int) -> DataFram
             sums, at = prefix_codes(data), offs[row] + pos
             use = span_codes(sums, at, at + LEAD) % np.uint64(blocks) == np.uint64(block)
             row, pos, at = row[use], pos[use], at[use]
-            check = span_codes(prefix_codes(data, CHECK_CODE), at, at + LENGTH)
+            check = block_codes(data, LENGTH)[at]
             yield from send("shared", buckets, span_codes(sums, at, at + LENGTH), key[row], key[row].view(np.int64), pos.astype(np.uint32), check=check)
 
     return meet(near.mapInArrow(run, PACKED), "shared", buckets, checked=True)
