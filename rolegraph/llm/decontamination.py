@@ -4,8 +4,8 @@ Benchmark texts are normalised (A-Z folded, words of digits, letters and non-ASC
 into windows of 13 words; an item of fewer words, but not none, is one window.  One automaton of all windows scans each
 normalised text once; hits are mapped back to words, and on demand to offsets in the original.
 
-Null text has no words.  Equal items and windows share a pattern that carries all their item ids; a null item id counts as
-none.  Repeated documents get a row each.  The automaton is built once in a Python worker, from a broadcast of at most
+Null text has no words.  Equal items and windows share a pattern that carries all their item ids; windows of items without an
+id hit words like others and add no id.  Repeated documents get a row each.  The automaton is built once in a Python worker, from a broadcast of at most
 ``MOST_PATTERN_BYTES``.  A larger benchmark takes as many rounds as it needs, one automaton and one step of the plan each, so
 neither the driver nor a worker holds more than one round's windows; texts are written once and read in each round.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegraph.llm._rows import Stored, fresh
+from rolegraph.llm._rows import Stored, durable, fresh
 from rolegraph.llm._text import column_bytes
 
 WINDOW = 13
@@ -44,7 +44,7 @@ def windows(items: list[tuple[object, str | None]], size: int = WINDOW) -> dict[
         w = normal((text or "").encode())
         for k in range(max(1, len(w) - size + 1) if w else 0):
             part = w[k : k + size]
-            out.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), set()))[1].add(str(item))
+            out.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), set()))[1].update([] if item is None else [str(item)])
     return {p: (n, sorted(ids)) for p, (n, ids) in out.items()}
 
 
@@ -63,7 +63,7 @@ def _rounds(benchmark: DataFrame) -> Iterator[list[tuple[str, int, list[str]]]]:
     """Patterns for the rounds of scanning, each of MOST_PATTERN_BYTES and one item at most; rows arrive one partition at a time."""
     held, any_yet = 0, False
     table: dict[str, tuple[int, set[str]]] = {}
-    for r in benchmark.where("item_id is not null").select("item_id", "text").orderBy("item_id").toLocalIterator():
+    for r in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
         for p, (n, ids) in windows([(r[0], r[1])]).items():
             if p not in table:
                 held += len(p)
@@ -125,13 +125,17 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at = fresh(docs, "_at")
         table = Stored(_round(docs.withColumn(at, F.monotonically_increasing_id()), first)).read()
         # Each later round writes the few documents that it hits: no row grows with the number of rounds.
+        later: list[Stored] = []
         parts = [table.where("hit_words is not null").select(at, "hit_words", "items")]
         for patterns in chain([second], rounds):
-            parts.append(Stored(_round(table.select(at, "text"), patterns).where("hit_words is not null").select(at, "hit_words", "items")).read())
+            later.append(Stored(_round(table.select(at, "text"), patterns).where("hit_words is not null").select(at, "hit_words", "items")))
+            parts.append(later[-1].read())
         hits = parts[0]
         for part in parts[1:]:
             hits = hits.unionAll(part)
-        hits = hits.groupBy(F.col(at).alias("_hit")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hit_words", "items")])
+        hits = durable(hits.groupBy(F.col(at).alias("_hit")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hit_words", "items")]))
+        for part in later:
+            part.drop()
         out = table.drop("hit_words", "items").join(hits, F.col(at) == F.col("_hit"), "left")
     return out.select(*docs.columns, "n_words", some("hit_words", "int").alias("hit_words"), some("items", "string").alias("items"))
 

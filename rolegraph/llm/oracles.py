@@ -36,13 +36,13 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAMINATION = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_ALNUM}') AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_ALNUM}') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_ALNUM}') AS ws FROM benchmark),
 bw AS (SELECT DISTINCT item_id, len(k) AS n, array_to_string(k, ' ') AS k FROM (SELECT item_id, unnest(CASE WHEN len(ws) >= 13 THEN list_transform(range(1, len(ws) - 11), lambda i: ws[i:i + 12]) WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS k FROM b)),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes)),
 hits AS (SELECT doc_id, dw.n, i, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
 places AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY 1),
-items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY 1)
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits WHERE item_id IS NOT NULL GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
@@ -72,6 +72,36 @@ SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n
 """
 
 
+AUDIT = rf"""
+WITH d AS (SELECT coalesce(doc_id, 9223372036854775807) AS id, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS ws FROM documents),
+earliest AS (SELECT t, min(id) AS first FROM d GROUP BY 1),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+  regexp_matches(t, '[#$%&*|]'), id > first] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM d JOIN earliest USING (t) LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x) JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+ends AS (SELECT part, fails, good, toxic, n, o, CASE WHEN fails[strpos('ABCDE', o[1])] THEN 1 WHEN fails[strpos('ABCDE', o[2])] THEN 2 WHEN fails[strpos('ABCDE', o[3])] THEN 3 WHEN fails[strpos('ABCDE', o[4])] THEN 4 WHEN fails[strpos('ABCDE', o[5])] THEN 5 ELSE 6 END AS ends FROM f, orders),
+each AS (SELECT part, o AS filter_order, k AS step, o[k] AS filter, n, ends, good, toxic, fails[strpos('ABCDE', o[k])] AS hit, fails[1]::INT + fails[2]::INT + fails[3]::INT + fails[4]::INT + fails[5]::INT AS all_hits FROM ends, range(1, 6) AS r(k)),
+steps AS (SELECT part, filter_order, step, filter, sum(CASE WHEN ends > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN ends = step THEN n ELSE 0 END) AS removed, sum(CASE WHEN hit AND ends < step THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN hit AND all_hits = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN ends = step AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN ends = step AND toxic THEN n ELSE 0 END) AS toxic_lost FROM each GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM steps
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}') AS ws FROM documents),
+total AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+b AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}')) AS term FROM benchmark) GROUP BY 1, 2),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) SEMI JOIN b USING (term) GROUP BY 1, 2, 3),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1) JOIN total ON true),
+i AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS x FROM p JOIN w USING (term) JOIN total ON true),
+s AS (SELECT item_id, doc_id, CAST(sum(q * x) AS BIGINT) AS score FROM b JOIN i USING (term) GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def shards(keys: list[int], shards: int = 16) -> str:
     """SQL of the sharding: checksums over bytes, a Feistel round for each key, and walks until a number is inside."""
     rounds = "SELECT id, n, side, v // side AS l, v % side AS r FROM walk JOIN total ON true WHERE k = 0 OR v >= n"

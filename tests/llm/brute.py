@@ -50,7 +50,7 @@ def contamination(rows, items):
     for item, text in items:
         w = word.findall(fold(text or ""))
         for i in range(max(1, len(w) - 12) if w else 0):
-            windows[tuple(w[i : i + 13])].add(str(item))
+            windows[tuple(w[i : i + 13])].update([] if item is None else [str(item)])
     sizes = {len(k) for k in windows}
     out = {}
     for d, text in rows:

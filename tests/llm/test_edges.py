@@ -79,7 +79,7 @@ def test_decontamination(spark, odd, none):
     items = [(1, "one two three four five six seven eight nine ten a"), (2, None), (3, ""), (4, "A b C"), (None, "end")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {r["doc_id"]: tuple(r)[1:] for r in decontamination.report(odd, bench).where("doc_id is not null").collect()}
-    assert got == brute.contamination(named(texts()), [x for x in items if x[0] is not None])
+    assert got == brute.contamination(named(texts()), items)
     clean = decontamination.clean(odd, bench)
     assert clean.columns == odd.columns and clean.where("doc_id = 20").count() == 0 and clean.where("doc_id = 1").count() == 1
     assert decontamination.report(odd, bench.where("false")).where("contaminated").count() == 0
