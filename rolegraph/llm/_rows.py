@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Narrow tables of more rows than this are not broadcast.
+BROADCAST_ROWS = 200_000
 #: Spark's own setting by which a finished query gives its shuffle files back.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -104,9 +106,10 @@ def numbered(df: DataFrame, order: list[str], number: str, within: str | None =
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(order_parts), F.lit(0))).drop("_n")
     if within:
         starts = starts.withColumnRenamed(within, "_within")
-        on = (placed["_part"] == starts["_part"]) & placed[within].eqNullSafe(starts["_within"])
-    else:
-        on = placed["_part"] == starts["_part"]
-    # A row of starts for each partition, and for each value on from it: bounded by partitions plus values.
-    joined = placed.join(F.broadcast(starts), on).withColumn(number, F.col("_before") + F.col("_at") - F.col("_first"))
+    # A row of starts for each partition, and for each value on from it; values may be many, so their number is checked.
+    starts = durable(starts.withColumnRenamed("_part", "_of_part"))
+    on = F.col("_part") == F.col("_of_part")
+    if within:
+        on = on & F.col(within).eqNullSafe(F.col("_within"))
+    joined = placed.join(F.broadcast(starts) if starts.count() <= BROADCAST_ROWS else starts, on).withColumn(number, F.col("_before") + F.col("_at") - F.col("_first"))
     return joined.select(*df.columns, number)
