@@ -20,6 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this many are broadcast (about 200 bytes each: 20 MB at most); beyond it both sides are shuffled, salted.
 BROADCAST_RULES = 100_000
 SALTS = 16
+#: Keys over which rows without a host are spread.
+SPREAD = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -43,7 +45,7 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` and ``verdict``; columns of these names in ``df`` are replaced."""
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    asking, best_of = fresh(df, "_url"), fresh(df, "_best")
+    asking, best_of, key = fresh(df, "_url"), fresh(df, "_best"), fresh(df, "_wanted")
     filed = rules.where("rule_host is not null and rule_path is not null and rule_verdict is not null").select(
         F.translate("rule_host", UPPER, LOWER).alias("rule_host"), "rule_path", "rule_verdict"
     ).dropDuplicates()
@@ -76,5 +78,9 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     rule = F.concat("rule_host", "rule_path")
     rank = F.struct(F.length(rule).alias("n"), (F.col("rule_verdict") == "block").alias("b"), rule.alias("rule"), F.col("rule_verdict").alias("verdict"))
     best = met.groupBy(F.col("_url").alias(asking)).agg(F.max(rank).alias(best_of))
-    back = df.select(*keep).join(best, F.col(url) == F.col(asking), "left")
+    # Only urls with a host are asked for; all others, null among them, are spread.  The rules' side is no longer known to be
+    # partitioned by url, so both sides are exchanged and adaptive execution can split the partition of a hot url.
+    wanted = F.when(host_of(F.col(url)) != "", F.col(url)).otherwise(F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("string")))
+    best = best.withColumn(asking, F.concat(asking, F.lit("")))
+    back = df.select(*keep, wanted.alias(key)).join(best, F.col(key) == F.col(asking), "left")
     return back.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(best_of)["rule"].alias("rule"), F.coalesce(F.col(best_of)["verdict"], F.lit(default)).alias("verdict"))
