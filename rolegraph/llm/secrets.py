@@ -26,8 +26,8 @@ STRONG = [("assign", ASSIGN), ("access", r"AKIA[A-Z0-9]{16,}"), ("hex", r"[0-9a-
 WEAK = [
     ("opaque", r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}(?![A-Za-z0-9+/])", "secret"),
     ("short_hex", r"(?<![0-9a-zA-Z])(?=[0-9a-f]*[0-9])[0-9a-f]{16,23}(?![0-9a-zA-Z])", "secret"),
-    ("account", r"""(?i:user(?:name)?|login|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}""", "id"),
-    ("endpoint", r"https?://[A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?", "endpoint"),
+    ("account", r"""(?i:user(?:name)?|login|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", "id"),
+    ("endpoint", r"https?://[A-Za-z0-9.-]{3,}(?::[0-9]{1,5})?", "endpoint"),
 ]
 PART = {"assign": "secret", "access": "id", "hex": "secret"} | {k: part for k, _, part in WEAK}
 ORDER = {k: i for i, k in enumerate([*(k for k, _ in STRONG), *(k for k, _, _ in WEAK)])}
