@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolegraph.llm import classifier, decontamination, jaccard_join, mixing, oracles, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, urls
+from rolegraph.llm import classifier, decontamination, filter_audit, jaccard_join, lexical_search, mixing, oracles, quality_rules, secrets, sharding, simhash, substring_dedup, suffix_dedup, urls
 from rolegraph.llm._rows import ship
 
 #: (host, path, verdict)
@@ -63,8 +63,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).drop("mix_order")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_secret_scan, op6_suffix_dedup, op7_quality_rules, op8_sharding, op9_substring_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_url_filter, op3_quality_classifier, op4_decontamination, op5_secret_scan, op6_suffix_dedup, op7_quality_rules, op8_sharding, op9_substring_dedup, op10_mixing, op11_filter_audit, op12_lexical_search, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -73,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_jaccard_join": oracles.JACCARD, "op2_url_filter": oracles.URLS, "op4_decontamination": oracles.CONTAMINATION,
         "op6_suffix_dedup": oracles.REPEATS, "op8_sharding": oracles.shards(sharding.round_keys(7)),
         "op7_quality_rules": oracles.rules(quality_rules.STOP_WORDS, limits), "op9_substring_dedup": oracles.PASSAGES,
+        "op11_filter_audit": oracles.AUDIT, "op12_lexical_search": oracles.SEARCH,
     }
