@@ -117,3 +117,89 @@ def passages(rows):
                 gone[i : i + 50] = [True] * 50
         out[d] = (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g)))
     return out
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def simhash(text):
+    import xxhash
+
+    w = words(fold(text or ""))
+    grams = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def simhash_classes(rows):
+    """(doc_id, text) to {doc_id: (fingerprint, component)}; every pair is compared."""
+    fp = [simhash(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fp[i] ^ fp[j]).count("1") <= 4:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((-1 if d is None else d, f"{f:016x}", least.get(find(i), -1)) for i, ((d, _), f) in enumerate(zip(rows, fp, strict=True))))
+
+
+def audit(docs, labels):
+    """(doc_id, text, source) and (doc_id, quality, toxic): filters applied one after the other, for each order."""
+    from itertools import permutations
+
+    far = 1 << 63
+    first = {}
+    for d, t, _ in docs:
+        first[t or ""] = min(first.get(t or "", far), far if d is None else d)
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, x in labels if x == 1 and d is not None}
+    out = []
+    for part in {s or "" for _, _, s in docs}:
+        own = []
+        for d, t, s in docs:
+            if (s or "") == part:
+                t, w = t or "", words(t)
+                own.append((d, {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": (far if d is None else d) > first[t]}))
+        rows, shapley = [], Counter()
+        for order in permutations("ABCDE"):
+            left = own
+            for step, f in enumerate(order, 1):
+                gone = [x for x in left if x[1][f]]
+                left = [x for x in left if not x[1][f]]
+                all_fail = sum(x[1][f] for x in own)
+                shapley[f] += len(gone)
+                rows.append((part, "".join(order), step, len(left), len(gone), all_fail - len(gone), sum(x[1][f] and sum(x[1].values()) == 1 for x in own), sum(d in good for d, _ in gone), sum(d in toxic for d, _ in gone)))
+        out += [(*r, shapley[r[1][r[2] - 1]]) for r in rows]
+    return sorted(out)
+
+
+def search(docs, items, top=10):
+    """Ranks of (item, text) over (doc_id, text), each score by the formula."""
+    import math
+
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    split = [(d, Counter(term.findall(fold(t or "")))) for d, t in docs]
+    n_docs, n_terms = sum(1 for _, c in split if c), sum(sum(c.values()) for _, c in split)
+    df = Counter(x for _, c in split for x in c)
+    out = []
+    for item, text in items:
+        asked = Counter(term.findall(fold(text or "")))
+        scores = []
+        for d, c in split:
+            if c:
+                m = 100 - 75 + 75 * sum(c.values()) * n_docs // n_terms
+                s = sum(q * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) * (10**9 * c[x] // (1000 * c[x] + 8 * m)) for x, q in asked.items() if x in c)
+                if s > 0:
+                    scores.append((-s, 1 << 63 if d is None else d))
+        out += [(-1 if item is None else item, k, -1 if d == 1 << 63 else d, -s) for k, (s, d) in enumerate(sorted(scores)[:top], 1)]
+    return sorted(out)
