@@ -60,7 +60,22 @@ class Catalog:
 
 
 def build(scanned: DataFrame) -> Catalog:
-    """Entities and their links from scanned files (schema ``SCANNED``), paths being unique."""
+    """Entities and their links from scanned files (schema ``SCANNED``), paths being unique.
+
+    Nothing is frozen: each table reads ``scanned`` once or twice.  A catalog that is asked more than one question is better
+    saved first and loaded (``kept``), or held by ``maintained``, which takes changes in.
+    """
+    files = derived(scanned)
+    mention, label, genre = mentions(files), label_mentions(files), genre_mentions(files)
+    release, credit = releases(files), credits(mention)
+    return Catalog(
+        files, artists(mention), release, first_spelling(label), first_spelling(genre), credit, genre_links(genre),
+        graph.cooccurrence(plays(credit), "entity_key", "artist_key"), relations(release_lists(files, release)).select("source", "target", "kind"),
+    )
+
+
+def derived(scanned: DataFrame) -> DataFrame:
+    """Scanned files with what follows from each one alone: names, places, title, release."""
     files = (
         scanned.withColumns({"artists": names_in("artist"), "album_artists": names_in("albumartist")})
         .withColumn("folder", T.folder(F.col("path")))
@@ -80,35 +95,61 @@ def build(scanned: DataFrame) -> Catalog:
         "quality": quality_label(p["codec"], p["lossless"], p["bit_depth"], p["sample_rate"], p["bitrate_kbps"]),
     })
     key = F.concat_ws("|", T.normalize(F.col("release_title")), F.when(F.col("is_compilation"), "__va__").otherwise(F.coalesce("owner_key", F.lit(""))), F.col("folder"))
-    files = files.withColumn("release_key", F.when(F.col("release_title").isNotNull(), key))
+    return files.withColumn("release_key", F.when(F.col("release_title").isNotNull(), key))
+
 
-    named = None
-    for rank, tag in enumerate(("artist", "albumartist", *ROLE_FIELDS)):
+def mentions(files: DataFrame) -> DataFrame:
+    """A row for each name in a field that names people, of all fields at once, so that files are read once."""
+    def of(rank: int, tag: str) -> Column:
         column = {"artist": F.col("artists"), "albumartist": F.col("album_artists")}.get(tag, names_in(tag))
-        one = files.select("path", "release_key", "is_compilation", F.lit(rank).alias("rank"), F.lit(tag).alias("tag"), first("musicbrainz_artistid").alias("given"), F.posexplode(column).alias("place", "name"))
-        named = one if named is None else named.unionByName(one)
-    named = named.withColumn("key", T.normalize(F.col("name")))
-    order = F.struct("path", "rank", "place")
+        return F.transform(column, lambda name, place: F.struct(F.lit(rank).alias("rank"), F.lit(tag).alias("tag"), place.alias("place"), name.alias("name")))
+
+    every = F.concat(*[of(rank, tag) for rank, tag in enumerate(("artist", "albumartist", *ROLE_FIELDS))])
+    named = files.select("path", "release_key", "is_compilation", first("musicbrainz_artistid").alias("given"), F.explode(every).alias("m"))
+    return named.select("path", "release_key", "is_compilation", "given", "m.rank", "m.tag", "m.place", "m.name", T.normalize(F.col("m.name")).alias("key"))
+
+
+_SEEN = ("path", "rank", "place")
+
+
+def artists(mention: DataFrame) -> DataFrame:
+    """One row a key: the first spelling, where it stands, and the first id that the tags give a leading artist."""
+    order = F.struct(*_SEEN)
     mbid = F.when((F.col("rank") == 0) & (F.col("place") == 0), F.col("given"))
-    artist = named.groupBy("key").agg(F.min_by(F.trim("name"), order).alias("name"), F.min(order).alias("seen"), F.min_by(mbid, F.when(mbid.isNotNull(), order)).alias("mbid")).withColumn("sort_name", T.sort_name(F.col("name")))
+    return mention.groupBy("key").agg(F.min_by(F.trim("name"), order).alias("name"), F.min(order).alias("seen"), F.min_by(mbid, F.when(mbid.isNotNull(), order)).alias("mbid")).withColumn("sort_name", T.sort_name(F.col("name")))
+
+
+def credits(mention: DataFrame) -> DataFrame:
+    """(artist_key, entity_kind, entity_key, role, seen): who holds which role on which track or release."""
+    order = F.struct(*_SEEN)
+    on_album = F.col("tag") == "albumartist"
+    role = F.when(on_album, "album").when(F.col("tag") == "artist", "main").otherwise(F.col("tag"))
+    held = mention.where(~on_album | (F.col("release_key").isNotNull() & ~F.col("is_compilation")))
+    keys = (F.col("key").alias("artist_key"), F.when(on_album, "release").otherwise("track").alias("entity_kind"), F.when(on_album, F.col("release_key")).otherwise(F.col("path")).alias("entity_key"), role.alias("role"))
+    return held.groupBy(*keys).agg(F.min(order).alias("seen"))
+
 
-    role = F.when(F.col("tag") == "artist", "main").otherwise(F.col("tag"))
-    on_track = named.where("tag <> 'albumartist'").select(F.col("key").alias("artist_key"), F.lit("track").alias("entity_kind"), F.col("path").alias("entity_key"), role.alias("role"), order.alias("seen"))
-    on_release = named.where("tag = 'albumartist' and release_key is not null and not is_compilation").select(F.col("key").alias("artist_key"), F.lit("release").alias("entity_kind"), F.col("release_key").alias("entity_key"), F.lit("album").alias("role"), order.alias("seen"))
-    credit = on_track.unionByName(on_release).groupBy("artist_key", "entity_kind", "entity_key", "role").agg(F.min("seen").alias("seen"))
+def plays(credit: DataFrame) -> DataFrame:
+    """Credits of those who play on a track."""
+    return credit.where((F.col("entity_kind") == "track") & F.col("role").isin(*graph.PERFORMING))
 
-    release = releases(files)
-    label = links(files.where("release_key is not null"), F.transform(values("label"), F.trim), "label")
-    genre = links(files, F.filter(F.flatten(F.transform(values("genre"), lambda g: F.transform(F.split(g, ";"), F.trim))), lambda g: g != ""), "genre")
-    label_of = label.groupBy("release_key", "key").agg(F.min("seen").alias("seen")).groupBy("release_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "key"))), lambda x: x["key"]).alias("label_keys"))
-    release = release.join(label_of, "release_key", "left")
-    link = lambda kind, column: genre.where(F.col(column).isNotNull()).groupBy(F.lit(kind).alias("entity_kind"), F.col(column).alias("entity_key"), F.col("key").alias("genre_key")).agg(F.min("seen").alias("seen"))
-    genre_link = link("track", "path").unionByName(link("release", "release_key"))
-    plays = credit.where((F.col("entity_kind") == "track") & F.col("role").isin(*graph.PERFORMING))
-    return Catalog(files, artist, release, first_spelling(label), first_spelling(genre), credit, genre_link, graph.cooccurrence(plays, "entity_key", "artist_key"), release_relations(files, release))
 
+def label_mentions(files: DataFrame) -> DataFrame:
+    return links(files.where("release_key is not null"), F.transform(values("label"), F.trim))
 
-def links(files: DataFrame, column: Column, kind: str) -> DataFrame:
+
+def genre_mentions(files: DataFrame) -> DataFrame:
+    return links(files, F.filter(F.flatten(F.transform(values("genre"), lambda g: F.transform(F.split(g, ";"), F.trim))), lambda g: g != ""))
+
+
+def genre_links(genre: DataFrame) -> DataFrame:
+    """(entity_kind, entity_key, genre_key, seen) of tracks and of releases."""
+    both = F.array(F.struct(F.lit("track").alias("entity_kind"), F.col("path").alias("entity_key")), F.struct(F.lit("release").alias("entity_kind"), F.col("release_key").alias("entity_key")))
+    on = genre.select(F.col("key").alias("genre_key"), "seen", F.explode(both).alias("e")).where("e.entity_key is not null")
+    return on.groupBy("e.entity_kind", "e.entity_key", "genre_key").agg(F.min("seen").alias("seen"))
+
+
+def links(files: DataFrame, column: Column) -> DataFrame:
     one = files.select("path", "release_key", F.posexplode(column).alias("place", "name"))
     return one.select("path", "release_key", "name", T.normalize(F.col("name")).alias("key"), F.struct("path", "place").alias("seen"))
 
@@ -118,7 +159,7 @@ def first_spelling(linked: DataFrame) -> DataFrame:
 
 
 def releases(files: DataFrame) -> DataFrame:
-    """One row a release key: first values, tracks in order, and the year."""
+    """One row a release key: first values, tracks in order, the year, and the keys of its labels as they first appear."""
     raw = F.coalesce(first("originaldate"), first("date"))
     dated = files.where("release_key is not null").withColumns({"raw": F.nullif(raw, F.lit("")), "mb": first("musicbrainz_albumid"), "number": first("catalognumber")}).withColumn("year", T.extract_year(F.col("raw")))
     keep = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("path"))).alias(c)
@@ -131,24 +172,31 @@ def releases(files: DataFrame) -> DataFrame:
         F.min("year").alias("year"), F.min_by("raw", F.when(F.col("year").isNotNull(), F.struct("year", "path"))).alias("_dated"), F.max_by("raw", F.when(F.col("raw").isNotNull(), F.col("path"))).alias("_last"),
         F.transform(F.array_sort(F.collect_list(order)), lambda x: x["path"]).alias("track_paths"), F.min("path").alias("seen"),
     )
-    return out.withColumns({"date": F.coalesce("_dated", "_last"), "key": T.normalize(F.col("title"))}).drop("_dated", "_last")
+    out = out.withColumns({"date": F.coalesce("_dated", "_last"), "key": T.normalize(F.col("title"))}).drop("_dated", "_last")
+    label_of = label_mentions(files).groupBy("release_key", "key").agg(F.min("seen").alias("seen")).groupBy("release_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "key"))), lambda x: x["key"]).alias("label_keys"))
+    return out.join(label_of, "release_key", "left")
 
 
-def release_relations(files: DataFrame, release: DataFrame) -> DataFrame:
-    """(source, target, kind): releases of one owner and title whose track lists agree, in both directions.
+def release_lists(files: DataFrame, release: DataFrame) -> DataFrame:
+    """What is compared of each release: its owner and title, and numbers, titles and lengths of its tracks."""
+    entry = F.struct(F.coalesce("track_no", F.lit(0)).alias("no"), T.normalize(F.col("title")).alias("title"), F.coalesce("duration_ms", F.lit(0)).alias("ms"))
+    lists = files.where("release_key is not null").groupBy("release_key").agg(F.array_sort(F.collect_list(entry)).alias("list"), F.sort_array(F.collect_set("quality")).alias("qualities"))
+    rows = release.select("release_key", "owner_key", "key").join(lists, "release_key").withColumn("what", F.to_json(F.transform("list", lambda x: F.struct(x["no"], x["title"]))))
+    return rows.withColumn("title_key", F.concat_ws("|", "key", F.coalesce("owner_key", F.lit("__va__"))))
+
+
+def relations(lists: DataFrame) -> DataFrame:
+    """(source, target, kind, title_key): releases of one owner and title whose track lists agree, in both directions.
 
     Track lists meet on owner, title, length and the list of numbers and titles, so only copies of an album meet.
     """
-    entry = F.struct(F.coalesce("track_no", F.lit(0)).alias("no"), T.normalize(F.col("title")).alias("title"), F.coalesce("duration_ms", F.lit(0)).alias("ms"))
-    lists = files.where("release_key is not null").groupBy("release_key").agg(F.array_sort(F.collect_list(entry)).alias("list"), F.sort_array(F.collect_set("quality")).alias("qualities"))
-    rows = release.select("release_key", "owner_key", "key").join(lists, "release_key").withColumn("_what", F.to_json(F.transform("list", lambda x: F.struct(x["no"], x["title"]))))
-    a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
+    a = lists.select(*[F.col(c).alias(f"a_{c}") for c in lists.columns])
+    b = lists.select(*[F.col(c).alias(f"b_{c}") for c in lists.columns])
     near = F.forall(F.zip_with("a_list", "b_list", lambda x, y: F.abs(x["ms"] - y["ms"]) <= TOLERANCE_MS), lambda ok: ok)
-    pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a__what") == F.col("b__what")) & F.col("a_owner_key").eqNullSafe(F.col("b_owner_key")) & (F.col("a_release_key") < F.col("b_release_key"))).where(near)
+    pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_what") == F.col("b_what")) & F.col("a_owner_key").eqNullSafe(F.col("b_owner_key")) & (F.col("a_release_key") < F.col("b_release_key"))).where(near)
     kind = F.when(F.col("a_qualities") == F.col("b_qualities"), "duplicate").otherwise("other_edition")
-    one = pairs.select(F.col("a_release_key").alias("source"), F.col("b_release_key").alias("target"), kind.alias("kind"))
-    return one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "kind"))
+    ends = F.array(F.struct(F.col("a_release_key").alias("source"), F.col("b_release_key").alias("target")), F.struct(F.col("b_release_key").alias("source"), F.col("a_release_key").alias("target")))
+    return pairs.select(F.explode(ends).alias("e"), kind.alias("kind"), F.col("a_title_key").alias("title_key")).select("e.source", "e.target", "kind", "title_key")
 
 
 TABLES = ("file", "artist", "release", "label", "genre", "credit", "genre_link", "collaboration", "release_relation")
@@ -171,6 +219,12 @@ def load(spark: SparkSession, folder: str) -> Catalog:
     return Catalog(*[spark.read.parquet(f"{folder}/{name}") for name in TABLES], spark.read.parquet(f"{folder}/analysis") if given["analysis"] else None)
 
 
+def kept(c: Catalog, folder: str) -> Catalog:
+    """``c`` saved below ``folder`` and read back: questions then read tables and not what the catalog was built from."""
+    save(c, folder)
+    return load(c.file.sparkSession, folder)
+
+
 def broken_links(c: Catalog) -> DataFrame:
     """(what, key): keys that stand twice and links to what is not there; none in a sound catalog."""
     twice = [df.groupBy(F.col(key).alias("key")).count().where("count > 1").select(F.lit(f"{name} twice").alias("what"), "key") for name, df, key in (("file", c.file, "path"), ("artist", c.artist, "key"), ("release", c.release, "release_key"))]

@@ -6,16 +6,20 @@ plans.  Beside each stands SQL on the tables themselves.  Albums of nation 1 sta
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegraph.api import Library
 from rolegraph.functions import text as T
+from rolegraph.operators.frozen import durable, shared_folder
 from rolegraph.operators.lookups import Page
 from rolegraph.functions.quality import is_hi_res
-from rolegraph.plans import analyses, catalog, export, incremental, stats
+from rolegraph.plans import analyses, catalog, doctor, export, incremental, stats
+from rolegraph.plans.maintained import Maintained
 from rolegraph.sources.listing import top_places, watched
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,8 +80,15 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KEPT: dict[tuple[str, str], Library] = {}
+
+
 def library(spark: SparkSession, sf_dir: str) -> Library:
-    return Library(catalog.build(scanned(spark, sf_dir)))
+    """The catalog of these tables, built and saved once in a session: the questions read its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = Library(catalog.kept(catalog.build(durable(scanned(spark, sf_dir))), f"{shared_folder(spark)}/shelf-{uuid.uuid4().hex}"))
+    return _KEPT[key]
 
 
 @query("""SELECT (SELECT count(*) FROM f) AS files, CAST(0 AS BIGINT) AS orphans, (SELECT CAST(sum(ms) AS BIGINT) FROM f) AS duration_ms, (SELECT CAST(sum(size) AS BIGINT) FROM f) AS bytes, (SELECT count(*) FROM r) AS releases,
@@ -329,9 +340,62 @@ def lib_genre_links(spark, sf_dir):
     return c.genre_link.join(c.genre.select(F.col("key").alias("genre_key"), F.col("name").alias("genre")), "genre_key").select("entity_kind", entity.alias("entity"), "genre")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS what, CAST(NULL AS VARCHAR) AS key WHERE false")
+@query("""SELECT 'credit without its artist' AS what, lower(replace(name, '#', ' ')) AS key FROM (SELECT name FROM cr UNION SELECT owner FROM r WHERE NOT comp) WHERE ends_with(name, '7')
+  UNION ALL SELECT 'file without its release', folder FROM r WHERE label = 'BUILDING' UNION ALL SELECT 'credit without its track', path FROM cr WHERE genre = '2-HIGH' GROUP BY path
+  UNION ALL SELECT 'genre link without its genre', '5 low' FROM f WHERE genre = '5-LOW' GROUP BY 1 UNION ALL SELECT 'file twice', path FROM f WHERE cust % 10 = 0 AND genre <> '2-HIGH'""")
 def lib_broken_links(spark, sf_dir):
-    return catalog.broken_links(library(spark, sf_dir).catalog)
+    """A sound catalog has no row here, so this one has lost some of its rows and holds others twice."""
+    c = library(spark, sf_dir).catalog
+    lost = replace(
+        c, artist=c.artist.where(~F.col("key").endswith("7")), release=c.release.where(~F.col("title").contains("BUILDING")), genre=c.genre.where("name <> '5-LOW'"),
+        file=c.file.where("tags['genre'][0] <> '2-HIGH'").unionByName(c.file.where("tags['genre'][0] <> '2-HIGH' and folder rlike '0$'")),
+    )
+    key = F.when(F.col("what") == "file without its release", F.element_at(F.split("key", r"\|"), -1)).otherwise(F.col("key"))
+    return catalog.broken_links(lost).select("what", key.alias("key"))
+
+
+@query("""SELECT kind, path FROM (
+  SELECT 'missing_artist' AS kind, CASE WHEN k % 10 = 5 THEN folder || '/x' || k || '.flac' ELSE path END AS path FROM f WHERE k % 10 = 3 OR path NOT IN (SELECT path FROM cr WHERE role = 'main') UNION ALL SELECT 'missing_album', path FROM f WHERE k % 10 IN (4, 6)
+  UNION ALL SELECT 'missing_date', path FROM f WHERE k % 10 = 2 UNION ALL SELECT 'suspicious_year', path FROM f WHERE k % 10 = 1 UNION ALL SELECT 'missing_track_number', folder || '/x' || k || '.flac' FROM f WHERE k % 10 = 5
+  UNION ALL SELECT 'missing_album', '/z' || path FROM f WHERE k % 10 = 6 UNION ALL SELECT 'missing_artist', '/z' || path FROM f WHERE k % 10 = 6 AND path NOT IN (SELECT path FROM cr WHERE role = 'main')
+  UNION ALL SELECT 'duplicate_track', min(path) FROM f WHERE k % 10 IN (4, 6) GROUP BY k HAVING count(*) > 1 OR k % 10 = 6)""")
+def lib_odd_files(spark, sf_dir):
+    """The shelf with faults: by order key, years of 1850 and none, no artist, no album, no track number in tags or name, and
+    tracks without album that stand again below ``/z``."""
+    rows = scanned(spark, sf_dir)
+    kind = F.col("mtime") % 10
+    without = lambda when, *names: F.when(when, F.map_filter("tags", lambda k, _: ~k.isin(*names))).otherwise(F.col("tags"))
+    for when, names in ((kind == 2, ("date",)), (kind == 3, ("artist",)), (kind.isin(4, 6), ("album",)), (kind == 5, ("tracknumber",))):
+        rows = rows.withColumn("tags", without(when, *names))
+    rows = rows.withColumn("tags", F.when(kind == 1, F.map_concat(without(kind == 1, "date"), F.create_map(F.lit("date"), F.array(F.lit("1850"))))).otherwise(F.col("tags")))
+    rows = rows.withColumn("path", F.when(kind == 5, F.regexp_replace("path", "/([0-9]+)[.]flac$", "/x$1.flac")).otherwise(F.col("path")))
+    again = rows.where(kind == 6).withColumn("path", F.concat(F.lit("/z"), F.col("path")))
+    found = doctor.diagnose(catalog.build(durable(rows.unionByName(again))))
+    kinds = ("missing_artist", "missing_album", "missing_date", "suspicious_year", "missing_track_number", "duplicate_track")
+    return found.where(F.col("kind").isin(*kinds)).select("kind", F.array_min("files").alias("path"))
+
+
+@query(f""", {PAIRS}, named AS (SELECT name, path FROM cr UNION SELECT owner, NULL FROM r), pl AS (SELECT DISTINCT name, path FROM cr WHERE role <> 'composer')
+  SELECT 'artist' AS kind, name, '' AS other, count(path) AS n FROM named GROUP BY 2 UNION ALL SELECT 'album', folder, quality, tracks FROM r UNION ALL SELECT 'label', label, '', count(*) FROM r GROUP BY 2
+  UNION ALL SELECT 'genre', genre, '', count(*) FROM f GROUP BY 2 UNION ALL SELECT 'together', a.name, b.name, count(*) FROM pl a JOIN pl b ON a.path = b.path AND a.name <> b.name GROUP BY 2, 3
+  UNION ALL SELECT kind, a, b, 1 FROM pairs UNION ALL SELECT kind, b, a, 1 FROM pairs""")
+def lib_maintained(spark, sf_dir):
+    """A catalog that took in a change of some files in a hundred is that of a full build: files that were not there, that had
+    other tags and stood on another album, and that are gone."""
+    rows, turn = durable(scanned(spark, sf_dir)), F.col("mtime") % 97
+    other = F.map_concat(F.map_filter("tags", lambda k, _: ~k.isin("artist", "genre", "label", "album")), F.create_map(*[x for k, v in (("artist", F.array(F.lit("Somebody Else"), F.col("path"))), ("album", F.array(F.lit("Another Album")))) for x in (F.lit(k), v)]))
+    moved = F.concat(F.lit("/gone"), F.col("path"))
+    before = rows.where(turn != 7).withColumn("tags", F.when(turn == 3, other).otherwise(F.col("tags"))).unionByName(rows.where(turn == 9).withColumn("path", moved))
+    held = Maintained.create(before, f"{shared_folder(spark)}/maintained-{uuid.uuid4().hex}", 16)
+    held.apply(rows.where(turn.isin(3, 7)), rows.where(turn == 9).select(moved.alias("path")))
+    c = held.catalog()
+    lib, last = Library(c), lambda x: F.element_at(F.split(x, r"\|"), -1)
+    name = c.artist.select("key", "name")
+    out = lib.artists(page=ALL).select(F.lit("artist").alias("kind"), "name", F.lit("").alias("other"), F.col("tracks").alias("n"))
+    out = out.unionAll(lib.albums(page=ALL).select(F.lit("album"), last("release_key"), "quality", "tracks"))
+    out = out.unionAll(lib.labels(ALL).select(F.lit("label"), "label", F.lit(""), "albums")).unionAll(lib.genres(ALL).select(F.lit("genre"), "genre", F.lit(""), "tracks"))
+    ends = c.collaboration.join(name.toDF("source", "a"), "source").join(name.toDF("target", "b"), "target")
+    return out.unionAll(ends.select(F.lit("together"), "a", "b", "weight")).unionAll(c.release_relation.select("kind", last("source"), last("target"), F.lit(1).cast("long")))
 
 
 RECORDS = """rec AS (SELECT *, CASE nation WHEN 3 THEN replace(path, '/m/', '/old/') WHEN 4 THEN path || '.gone' ELSE path END AS place, CASE WHEN nation = 5 THEN k + 1 ELSE k END AS mtime FROM f WHERE shelf = 'm'),
