@@ -107,6 +107,14 @@ def long_duration(ms: Column) -> Column:
     return F.when(s >= 86400, F.concat_ws(" ", part(F.floor(s / 86400), "d"), hours, minutes)).when(s >= 3600, F.concat_ws(" ", hours, minutes)).when(s >= 60, F.concat_ws(" ", minutes, part(s % 60, "s"))).otherwise(part(s, "s"))
 
 
+def resolved(path: Column) -> Column:
+    """An absolute path without ``.``, ``..`` and empty parts; above the root there is nothing."""
+    none = F.expr("cast(array() as array<string>)")
+    up = lambda s: F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))
+    parts = F.aggregate(F.split(path, "/"), none, lambda s, x: F.when(x.isin("", "."), s).when(x == "..", up(s)).otherwise(F.concat(s, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
 def folder(path: Column) -> Column:
     """What stands before the last slash."""
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegraph.functions.text import file_name, folder, is_under
+from rolegraph.functions.text import file_name, folder, is_under, resolved
+from rolegraph.sources.files import listed
+from rolegraph.sources.heads import report_texts
 
 #: Extensions of audio files and images, and names of covers, best first.
 AUDIO = ("flac", "mp3", "m4a", "m4b", "mp4", "aac", "ogg", "oga", "opus", "spx", "wav", "wave", "aif", "aiff", "aifc", "ape", "wv", "mpc", "mp+", "mpp", "alac")
@@ -33,9 +35,9 @@ def cover_rank(path: Column) -> Column:
 
 
 def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """(path, size, mtime) of all files below the roots; contents are not read, hidden names are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-    return found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
+    """(path, size, mtime) of all files below the roots but those with a dot before their or a folder's name; contents are not
+    read."""
+    return listed(spark, roots)
 
 
 def audio_files(files: DataFrame) -> DataFrame:
@@ -49,8 +51,9 @@ def covers(files: DataFrame) -> DataFrame:
 
 
 def top_places(places: DataFrame, place: str = "place") -> DataFrame:
-    """Distinct places without those that lie inside another one; a trailing slash makes no difference."""
-    clean = places.where(F.col(place).isNotNull()).select(F.coalesce(F.nullif(F.regexp_replace(place, "/+$", ""), F.lit("")), F.lit("/")).alias(place)).distinct()
+    """Distinct places without those that lie inside another one; ``.`` and ``..`` are resolved, and a slash more or less makes
+    no difference."""
+    clean = places.where(F.col(place).isNotNull()).select(resolved(F.col(place)).alias(place)).distinct()
     # Each place asks for its own parents, so the join is on equal paths and grows with depth, not with pairs of places.
     parts = F.split(place, "/")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.coalesce(F.nullif(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("")), F.lit("/")))
@@ -77,7 +80,18 @@ def in_scope(files: DataFrame, places: list[str]) -> DataFrame:
 def reports(spark: SparkSession, paths: list[str], report_format: str, source: str = "report") -> DataFrame:
     """Records of measurement reports that announce ``report_format``, flat, later files last in ``seq``; a foreign or newer
     report is an error."""
-    read = spark.read.schema(REPORT).option("multiLine", True).option("recursiveFileLookup", True).json(paths).withColumn("_file", F.col("_metadata.file_path"))
+    texts = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return records_of(texts, report_format, source)
+
+
+def reports_below(files: DataFrame, report_format: str, source: str = "report") -> DataFrame:
+    """Records of all reports among listed files, known by their first bytes; other JSON files are passed over."""
+    return records_of(report_texts(files, report_format), report_format, source)
+
+
+def records_of(texts: DataFrame, report_format: str, source: str = "report") -> DataFrame:
+    """Records of whole reports (path, text)."""
+    read = texts.select(F.col("path").alias("_file"), F.from_json("text", REPORT).alias("r")).select("_file", "r.*")
     wrong = F.coalesce(F.col("format") != report_format, F.lit(True)) | F.coalesce(F.col("version") > REPORT_VERSION, F.lit(True))
     checked = read.withColumn("report", F.when(wrong, F.raise_error(F.concat(F.col("_file"), F.lit(" is not a report this version reads")))).otherwise(F.col("report")))
     f = checked.select("_file", F.posexplode("report.files").alias("_at", "f")).where("f.path is not null")

@@ -57,7 +57,14 @@ def _flac(df: DataFrame) -> DataFrame:
         )),
     )
     df = df.withColumn("_b", blocks)
-    c = F.col("_b.comment").cast("int")
+    df, lines, short = comment_lines(df, x, F.col("_b.comment").cast("int"))
+    tags = F.transform(lines, lambda t: F.struct(F.split(t, "=", 2)[0].alias("key"), F.coalesce(F.get(F.split(t, "=", 2), F.lit(1)), F.lit("")).alias("value")))
+    ms = F.when(F.col("rate") > 0, F.floor(F.col("samples") * 1000 / F.col("rate"))).cast("long")
+    return df.select("path", "size", "mtime", canonical(tags).alias("tags"), _properties("flac", ms, F.col("rate"), F.col("depth"), F.col("ch")), F.col("_b.art").alias("has_embedded_art"), F.when((F.col("_b.comment") >= 0) & short, "comments end before their count says").alias("problem"))
+
+
+def comment_lines(df: DataFrame, x: Column, c: Column) -> tuple[DataFrame, Column, Column]:
+    """``df`` with helper columns, the comments that begin at place ``c`` of ``x``, and whether there are fewer than counted."""
     # Lengths are taken at their word only as far as the bytes at hand reach.
     room = F.octet_length(x).cast("long")
     within = lambda n: F.when(n <= room, n).cast("int")
@@ -73,10 +80,8 @@ def _flac(df: DataFrame) -> DataFrame:
         ),
         lambda s: s["out"],
     )
-    df = df.withColumn("_lines", F.filter(F.when((F.col("_b.comment") >= 0) & (F.col("_n") > 0), lines).otherwise(none), lambda t: t.isNotNull()))
-    tags = F.transform("_lines", lambda t: F.struct(F.split(t, "=", 2)[0].alias("key"), F.coalesce(F.get(F.split(t, "=", 2), F.lit(1)), F.lit("")).alias("value")))
-    ms = F.when(F.col("rate") > 0, F.floor(F.col("samples") * 1000 / F.col("rate"))).cast("long")
-    return df.select("path", "size", "mtime", canonical(tags).alias("tags"), _properties("flac", ms, F.col("rate"), F.col("depth"), F.col("ch")), F.col("_b.art").alias("has_embedded_art"), F.when((F.col("_b.comment") >= 0) & (vendor.isNull() | F.col("_given").isNull() | (F.col("_given") > F.size("_lines"))), "comments end before their count says").alias("problem"))
+    df = df.withColumn("_lines", F.filter(F.when((c >= 0) & (F.col("_n") > 0), lines).otherwise(none), lambda t: t.isNotNull()))
+    return df, F.col("_lines"), vendor.isNull() | F.col("_given").isNull() | (F.col("_given") > F.size("_lines"))
 
 
 def _properties(codec: str, ms: Column, rate: Column, depth: Column, channels: Column) -> Column:
