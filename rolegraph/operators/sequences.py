@@ -24,13 +24,33 @@ def sequence_gaps(df: DataFrame, keys: list[str], number: str, listed: int = 12)
 
 
 def tolerance_clusters(df: DataFrame, keys: list[str], value: str, tie: str, tolerance: float) -> DataFrame:
-    """Adds ``cluster``, from 0 in each group: a value within ``tolerance`` of the one before it stays in its cluster.
+    """Adds ``cluster``, from 0 in each group: a value within ``tolerance`` of the one before it stays in its cluster.  Rows
+    without a value come first and begin no cluster.
 
-    Groups are texts with one key, which ``keys`` has to make small; a group is sorted by one task.
+    No task holds a group.  Rows are range-partitioned by group, value and tie, so a group that holds a third of all rows is
+    cut into as many segments as it fills partitions.  Clusters are numbered inside segments; then the segments of a group, one
+    row each, say where a cluster goes on across a seam and how many clusters stand before.  Only segments behind a seam get
+    a number to add, at most one a partition, so that table can be broadcast.
     """
-    order = Window.partitionBy(*keys).orderBy(value, tie)
-    far = F.coalesce((F.col(value) - F.lag(value).over(order) > tolerance).cast("int"), F.lit(0))
-    return df.withColumn("_far", far).withColumn("cluster", F.sum("_far").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_far")
+    order = [*keys, value, tie]
+    part, first = "_segment", F.row_number().over(Window.partitionBy("_segment", *keys).orderBy(value, tie)) == 1
+    placed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(part, F.spark_partition_id())
+    inside = Window.partitionBy(part, *keys).orderBy(value, tie)
+    far = F.coalesce((F.col(value) - F.lag(value).over(inside) > tolerance).cast("int"), F.lit(0))
+    flagged = placed.withColumn("_far", F.when(first, 0).otherwise(far))
+    placed = flagged.withColumn("_own", F.sum("_far").over(inside.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    ends = F.struct(value, tie)
+    segments = placed.groupBy(part, *keys).agg(F.min(ends).alias("_low"), F.max(ends).alias("_high"), F.max("_own").alias("_breaks"))
+    along = Window.partitionBy(*keys).orderBy(part)
+    seam = F.coalesce((F.col("_low")[value] - F.lag("_high").over(along)[value] > tolerance).cast("long"), F.lit(0))
+    before = F.sum(F.col("_seam") + F.coalesce("_past", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    told = segments.withColumns({"_seam": seam, "_past": F.lag("_breaks").over(along)}).withColumn("_before", before).where("_before > 0")
+    told = told.select(F.col(part).alias("_at"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_before")
+    same = F.col(part) == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    # One group of a partition at most began in an earlier one, so ``told`` has fewer rows than there are partitions.
+    return placed.join(F.broadcast(told), same, "left").select(*df.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).alias("cluster"))
 
 
 def clusters_of_two(df: DataFrame, keys: list[str], value: str, tie: str, tolerance: float, size: str) -> DataFrame:
