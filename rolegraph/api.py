@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolegraph.functions import roles
 from rolegraph.functions.text import is_under, normalize, position, search_score
-from rolegraph.operators import graph, lookups, measures
+from rolegraph.operators import graph, lookups, measures, suggest
 from rolegraph.operators.lookups import Page
 from rolegraph.plans import analyses, doctor, export, stats
 from rolegraph.plans.catalog import Catalog, first
@@ -38,7 +38,7 @@ class Library:
         wanted = normalize(F.lit(typed))
         hit = known.where((normalize(F.col("role")) == wanted) | (normalize(roles.role_label(F.col("role"))) == wanted)).orderBy("at").select("role").first()
         if hit is None:
-            raise ValueError(f"no role {typed!r}; in use are {', '.join(roles.NAMES.get(r, r) for r in used)}")
+            raise ValueError(f"no role {typed!r}{self._hint('role', typed)}; in use are {', '.join(roles.NAMES.get(r, r) for r in used)}")
         return hit[0]
 
     def roles(self) -> DataFrame:
@@ -97,10 +97,19 @@ class Library:
         return measures.one_row(unread, analyses.pending(c.analysis, c.file).agg(F.count("*").alias("waiting")))
 
     def nearest(self, kind: str, typed: str) -> DataFrame:
-        """Names of a table that are a few letters from a typed one, nearest first."""
-        table = {"artist": self.catalog.artist, "label": self.catalog.label, "genre": self.catalog.genre}[kind]
-        far = F.levenshtein(F.col("key"), normalize(F.lit(typed)))
-        return table.withColumn("distance", far).where(F.col("distance") <= max(1, len(typed) // 3)).orderBy("distance", F.length("name"), "name").select("name", "distance")
+        """Names of a kind that are a few letters from a typed one, nearest first."""
+        c = self.catalog
+        if kind == "role":
+            shown = roles.role_label(F.col("role"))
+            names = c.credit.select("role").distinct().select(normalize(shown).alias("key"), shown.alias("name"))
+        else:
+            names = {"artist": c.artist, "label": c.label, "genre": c.genre, "release": c.release.withColumnRenamed("title", "name")}[kind]
+        return suggest.nearest(suggest.index(names), typed)
+
+    def _hint(self, kind: str, typed: str) -> str:
+        """What a user may have meant, for an error."""
+        near = self.nearest(kind, typed).first()
+        return f" (is it {near['name']!r}?)" if near else ""
 
     def albums(self, artist: str = "", year: int | None = None, genre: str | None = None, label: str | None = None, compilations: bool | None = None, comment: str = "", page: Page = Page()) -> DataFrame:  # noqa: B008
         """Releases that meet all conditions, by year, title; an unknown genre or label is an error."""
@@ -120,7 +129,7 @@ class Library:
                 continue
             keys = table.where(F.col("key").contains(normalize(F.lit(asked)))).select(F.col("key").alias("_wanted"))
             if keys.isEmpty():
-                raise ValueError(f"no {name} like {asked!r}")
+                raise ValueError(f"no {name} like {asked!r}{self._hint(name, asked)}")
             if name == "genre":
                 linked = c.genre_link.where("entity_kind = 'release'").join(keys, F.col("genre_key") == F.col("_wanted"), "left_semi").select(F.col("entity_key").alias("release_key"))
             else:
@@ -203,7 +212,12 @@ class Library:
         head = one.join(c.release.select("release_key", F.col("title").alias("album"), "year"), "release_key", "left").select("path", "title", position(F.col("disc_no"), F.col("track_no")).alias("position"), "album", "year", "duration_ms", "size", "quality", first("comment").alias("comment"), F.coalesce("integrity.state", F.lit("not_verified")).alias("integrity"))
         who = lambda df: df.select("path", normalize(F.col("title")).alias("what"), normalize(F.coalesce(first("artist"), F.lit(""))).alias("by"), "release_key", "duration_ms", "quality")
         mine = who(one).select(F.col("path").alias("_path"), "what", "by")
-        return {"track": head, "credits": self.credits(one.select("path")), "others": who(c.file).join(F.broadcast(mine), ["what", "by"]).where("path <> _path").select("path", "release_key", "duration_ms", "quality").orderBy("path")}
+        said = {}
+        if c.analysis is not None:
+            stale = (F.col("size") != F.col("_size")) | (F.col("mtime") != F.col("_mtime"))
+            at = F.broadcast(one.select(F.col("path").alias("_path"), F.col("size").alias("_size"), F.col("mtime").alias("_mtime")))  # one row
+            said["analyses"] = c.analysis.join(at, F.col("path") == F.col("_path")).withColumn("stale", stale).drop("_path", "_size", "_mtime").orderBy("source")
+        return said | {"track": head, "credits": self.credits(one.select("path")), "others": who(c.file).join(F.broadcast(mine), ["what", "by"]).where("path <> _path").select("path", "release_key", "duration_ms", "quality").orderBy("path")}
 
     def played_with(self, artist: str, limit: int = 20) -> DataFrame:
         """Those who play on tracks of the artist, by the number of tracks."""
@@ -225,7 +239,7 @@ class Library:
         if found.isEmpty():
             best = self.search(name, 1).where("kind = 'artist'").select(F.col("id").alias("key"))
             if best.isEmpty():
-                raise ValueError(f"no artist like {name!r}")
+                raise ValueError(f"no artist like {name!r}{self._hint('artist', name)}")
             found = best
         mine = c.credit.join(F.broadcast(found), F.col("artist_key") == F.col("key"), "left_semi")
         of = c.file.select(F.col("path").alias("entity_key"), "release_key")
@@ -239,6 +253,37 @@ class Library:
             "roles": graph.role_counts(mine, ["role"]).orderBy(F.desc("credits"), "role"), "played_with": self.played_with(name),
         }
 
+    def artist_page(self, name: str) -> dict[str, DataFrame]:
+        """What is known of an artist: totals of playing and of writing, genres, and releases, each with measures: own ones and
+        those written without playing with all their tracks, guest appearances with the artist's own tracks alone."""
+        c, known = self.catalog, self.artist(name)
+        # of several found by search, ``artist`` has taken one
+        found = c.artist.where(F.col("key") == normalize(F.lit(name))).select("key")
+        if found.isEmpty():
+            found = self.search(name, 1).select(F.col("id").alias("key"))
+        files = c.file.select("path", "release_key", "duration_ms", "size", "quality")
+        mine = c.credit.where("entity_kind = 'track'").join(F.broadcast(found), F.col("artist_key") == F.col("key"), "left_semi").select(F.col("entity_key").alias("path"), F.col("role").isin(*graph.PERFORMING).alias("plays")).distinct()
+        tracks = mine.join(files, "path")
+        playing, writing = tracks.where("plays"), tracks.where("not plays")
+        measured = lambda kind, of, releases: measures.one_row(
+            of.agg(F.lit(kind).alias("kind"), F.count("*").alias("tracks"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")),
+            releases.agg(F.count("*").alias("releases")),
+        )
+        totals = measured("performing", playing, known["own"]).unionByName(measured("writing", writing, writing.select("release_key").where("release_key is not null").distinct()))
+        genres = c.genre_link.where("entity_kind = 'track'").join(mine.select(F.col("path").alias("entity_key")).distinct(), "entity_key", "left_semi").select(F.col("genre_key").alias("key")).distinct().join(c.genre.select("key", "name"), "key").select("name").orderBy("name")
+        owner = c.artist.select(F.col("key").alias("owner_key"), F.col("name").alias("artist"))
+        copies = c.release_relation.groupBy(F.col("source").alias("release_key")).agg(F.min("kind").alias("copy"))  # a duplicate before another edition
+
+        def listed(which: DataFrame, of: DataFrame) -> DataFrame:
+            per = of.groupBy("release_key").agg(F.count("*").alias("tracks"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"), F.sum("size").alias("bytes"), F.array_join(F.sort_array(F.collect_set("quality")), ", ").alias("quality"))
+            rows = which.join(c.release.select("release_key", "owner_key"), "release_key").join(per, "release_key").join(owner, "owner_key", "left").join(copies, "release_key", "left")
+            return rows.orderBy(F.asc_nulls_last("year"), "title", "release_key").select("year", "title", "copy", F.coalesce("artist", F.lit("Various Artists")).alias("artist"), "tracks", "duration_ms", "bytes", "quality", "release_key")
+
+        return {
+            "totals": totals.select("kind", "releases", "tracks", "duration_ms", "bytes"), "genres": genres, "discography": listed(known["own"], files), "guest": listed(known["guest"], playing),
+            "written": listed(known["written"], files), "roles": known["roles"], "played_with": known["played_with"],
+        }
+
     def facet(self, kind: str, name: str) -> DataFrame:
         """Releases of all genres or labels like ``name``."""
         return self.albums(**{kind: name}, page=Page(None))
@@ -280,6 +325,39 @@ class Library:
         hits = out.withColumn("score", search_score(normalize(F.col("name")), normalize(F.lit(text)))).where("score is not null")
         return hits.orderBy("score", "_rank", F.octet_length("name"), "name", "id").limit(limit).drop("_rank")
 
+    def search_page(self, text: str, page: Page = Page(30), comments: bool = False, commented: Page = Page(30)) -> dict[str, DataFrame]:  # noqa: B008
+        """Hits with what tells them apart (an album's artist, a track's album), and, apart from them, tracks whose comment holds
+        the text: each a window of its own.  A text without a letter or digit is an error."""
+        c = self.catalog
+        if not lookups.needle_of(c.file, text):
+            raise ValueError("give some text to search for")
+        hits = page.of(self.search(text, (1 << 31) - 1))
+        owner = c.artist.select(F.col("key").alias("owner_key"), F.col("name").alias("_artist"))
+        of_release = c.release.join(owner, "owner_key", "left").select(F.lit("release").alias("kind"), F.col("release_key").alias("id"), F.coalesce("_artist", F.lit("Various Artists")).alias("detail"))
+        of_track = c.file.join(c.release.select("release_key", F.col("title").alias("_album")), "release_key").select(F.lit("track").alias("kind"), F.col("path").alias("id"), F.col("_album").alias("detail"))
+        rank = F.array_position(F.array(*[F.lit(k) for k in ("artist", "release", "track", "label")]), F.col("kind"))
+        told = hits.join(of_release.unionByName(of_track), ["kind", "id"], "left").withColumn("detail", F.coalesce("detail", F.lit("")))
+        out = {"hits": told.orderBy("score", rank, F.octet_length("name"), "name", "id").select("score", "kind", "name", "detail", "id")}
+        if comments:
+            said = c.file.where(normalize(first("comment")).contains(normalize(F.lit(text))))
+            out["comments"] = commented.of(said.select("path", "title", first("comment").alias("comment")).orderBy("path"))
+        return out
+
+    def playlist(self, selection: DataFrame) -> DataFrame:
+        """(line): the tracks of a selection (path, in its order by ``part`` if it has one) for a player; an empty one is an error."""
+        return export.playlist(self._selected(selection, "playlist"), ["_part", "path"])
+
+    def track_table(self, selection: DataFrame) -> DataFrame:
+        """The export's columns for the tracks of a selection; an empty one is an error."""
+        return self._selected(selection, "table").orderBy("_part", "path").drop("_part")
+
+    def _selected(self, selection: DataFrame, what: str) -> DataFrame:
+        if selection.isEmpty():
+            raise ValueError(f"nothing to put in a {what}")
+        part = F.col("part") if "part" in selection.columns else F.lit(0)
+        wanted = selection.groupBy("path").agg(F.min(part).alias("_part"))
+        return export.track_rows(self.catalog).join(wanted, "path").select(*export.track_rows(self.catalog).columns, "_part")
+
     def imported(self, records: DataFrame) -> "Library":
         """The library with analyses merged in, whatever waited and now has its file included."""
         c = self.catalog

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rolegraph.api import Library
 from rolegraph.functions import text as T
 from rolegraph.operators.frozen import durable, shared_folder
+from rolegraph.operators import grams, suggest
 from rolegraph.operators.lookups import Page
 from rolegraph.functions.quality import is_hi_res
 from rolegraph.plans import analyses, catalog, doctor, export, incremental, stats
@@ -264,6 +265,47 @@ def lib_search(spark, sf_dir):
     return library(spark, sf_dir).search(SUPPLIER, 30)
 
 
+@query(f"""SELECT score, kind, name, id FROM (SELECT CASE WHEN starts_with(lower(replace(name, '#', ' ')), 'supplier 00000000') THEN 1 ELSE 2 END AS score, 'artist' AS kind, name, lower(replace(name, '#', ' ')) AS id
+  FROM (SELECT DISTINCT name FROM cr) WHERE contains(lower(replace(name, '#', ' ')), 'supplier 00000000')) ORDER BY score, octet_length(encode(name)), name, id LIMIT 30""")
+def lib_search_index(spark, sf_dir):
+    """The same question, answered from a saved index of runs of characters."""
+    c, folder = library(spark, sf_dir).catalog, f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+    grams.write([("artist", c.artist, "key", "name"), ("release", c.release, "release_key", "title"), ("track", c.file, "path", "title"), ("label", c.label, "key", "name")], folder)
+    return grams.search(spark, folder, SUPPLIER, 30)
+
+
+@query("""SELECT name, CAST(least(levenshtein(key, 'suplier 000000013'), 99) AS INTEGER) AS distance FROM (SELECT DISTINCT name, lower(replace(name, '#', ' ')) AS key FROM (SELECT name FROM cr UNION SELECT owner FROM r)) WHERE levenshtein(key, 'suplier 000000013') <= 5""")
+def lib_suggestions(spark, sf_dir):
+    """Names within five edits of a mistyped one, from a saved index of pieces."""
+    folder = f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"
+    suggest.write(library(spark, sf_dir).catalog.artist, folder)
+    return suggest.nearest(suggest.read(spark, folder), "Suplier#000000013")
+
+
+@query("""SELECT 'performing' AS kind, (SELECT count(*) FROM r WHERE owner = 'none') AS releases, count(*) AS tracks, CAST(sum(ms) AS BIGINT) AS duration_ms, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT DISTINCT path, ms, size FROM cr WHERE name = 'Supplier#000000001' AND role <> 'composer')
+  UNION ALL SELECT 'writing', count(DISTINCT folder), count(*), CAST(sum(ms) AS BIGINT), CAST(sum(size) AS BIGINT) FROM (SELECT DISTINCT path, folder, ms, size FROM cr WHERE name = 'Supplier#000000001' AND role = 'composer')""")
+def lib_artist_totals(spark, sf_dir):
+    return library(spark, sf_dir).artist_page("supplier#000000001")["totals"]
+
+
+@query("""SELECT folder, count(*) AS tracks, CAST(sum(ms) AS BIGINT) AS duration_ms, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT DISTINCT path, folder, ms, size FROM cr WHERE name = 'Supplier#000000001' AND role <> 'composer') GROUP BY 1""")
+def lib_artist_guest(spark, sf_dir):
+    """Guest appearances count the artist's own tracks, not whole albums."""
+    out = library(spark, sf_dir).artist_page("supplier#000000001")["guest"]
+    return out.select(F.element_at(F.split("release_key", r"\|"), -1).alias("folder"), "tracks", "duration_ms", "bytes")
+
+
+@query("SELECT DISTINCT genre AS name FROM cr WHERE name = 'Supplier#000000001'")
+def lib_artist_genres(spark, sf_dir):
+    return library(spark, sf_dir).artist_page("supplier#000000001")["genres"]
+
+
+@query("""SELECT kind, name, detail FROM (SELECT 2 AS score, 'release' AS kind, album AS name, CASE WHEN comp THEN 'Various Artists' ELSE owner END AS detail, folder AS id FROM r WHERE contains(lower(album), 'building 1')
+  UNION ALL SELECT 2, 'track', title, album, path FROM g WHERE contains(lower(title), 'building 1'))""")
+def lib_search_detail(spark, sf_dir):
+    return library(spark, sf_dir).search_page("building 1", ALL)["hits"].select("kind", "name", "detail")
+
+
 @query("""SELECT array_to_string(list_sort(list(DISTINCT name) FILTER (role = 'main')), ' / ') AS artist, CASE WHEN NOT any_value(g.comp) THEN any_value(g.owner) END AS album_artist, any_value(g.album) AS album, CAST(any_value(r.yr) AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS disc_no,
   any_value(no) AS track_no, any_value(title) AS title, any_value(g.ms) AS duration_ms, any_value(g.size) AS size_bytes, any_value(codec) AS codec, any_value(codec) AS container, CAST(any_value(rate) AS INTEGER) AS sample_rate_hz, CAST(any_value(depth) AS VARCHAR) AS bit_depth, 2 AS channels,
   CAST(any_value(kbps) AS INTEGER) AS bitrate_kbps, NOT any_value(lossy) AS lossless, coalesce(any_value(state), 'not_verified') AS integrity, CAST(NULL AS VARCHAR) AS isrc, CASE WHEN any_value(st) = 'F' THEN CAST(any_value(k) AS VARCHAR) END AS musicbrainz_recordingid, path
