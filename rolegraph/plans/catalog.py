@@ -135,11 +135,11 @@ def plays(credit: DataFrame) -> DataFrame:
 
 
 def label_mentions(files: DataFrame) -> DataFrame:
-    return links(files.where("release_key is not null"), F.transform(values("label"), F.trim))
+    return links(files.where("release_key is not null"), F.transform(values("label"), lambda name: F.trim(name)))
 
 
 def genre_mentions(files: DataFrame) -> DataFrame:
-    return links(files, F.filter(F.flatten(F.transform(values("genre"), lambda g: F.transform(F.split(g, ";"), F.trim))), lambda g: g != ""))
+    return links(files, F.filter(F.flatten(F.transform(values("genre"), lambda g: F.transform(F.split(g, ";"), lambda name: F.trim(name)))), lambda g: g != ""))
 
 
 def genre_links(genre: DataFrame) -> DataFrame:
@@ -225,6 +225,41 @@ def kept(c: Catalog, folder: str) -> Catalog:
     return load(c.file.sparkSession, folder)
 
 
+#: The key by which a keyed table is dealt: joins on it need no exchange.
+KEYED = {"file": "release_key", "artist": "key", "release": "release_key", "label": "key", "genre": "key", "credit": "artist_key", "genre_link": "genre_key", "collaboration": "source", "release_relation": "source"}
+#: What columns of few values may hold.
+ENUMERATED = {
+    "credit": {"role": ("main", "album", "featured", *ROLE_FIELDS), "entity_kind": ("track", "release")}, "genre_link": {"entity_kind": ("track", "release")},
+    "release_relation": {"kind": ("duplicate", "other_edition")}, "file": {"integrity.state": ("intact", "damaged", "nothing_to_check")},
+}
+
+
+def unsound(c: Catalog) -> DataFrame:
+    """(what, key): broken links, and values that a column of few values may not hold."""
+    odd = [
+        getattr(c, name).where(F.col(column).isNotNull() & ~F.col(column).isin(*allowed)).select(F.lit(f"{column} of {name}").alias("what"), F.col(column).alias("key")).distinct()
+        for name, columns in ENUMERATED.items() for column, allowed in columns.items()
+    ]
+    return reduce(DataFrame.unionByName, [broken_links(c), *odd])
+
+
+def save_tables(c: Catalog, database: str, buckets: int = 64) -> None:
+    """The catalog as tables of ``database``, each bucketed and sorted by its key (``KEYED``); a broken one is refused."""
+    wrong = unsound(c).limit(5).collect()
+    if wrong:
+        raise ValueError("the catalog is broken: " + "; ".join(f"{r['what']}: {r['key']}" for r in wrong))
+    for name, key in KEYED.items():
+        getattr(c, name).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(f"{database}.{name}")
+    if c.analysis is not None:
+        c.analysis.write.bucketBy(buckets, "path").sortBy("path").mode("overwrite").saveAsTable(f"{database}.analysis")
+
+
+def load_tables(spark: SparkSession, database: str) -> Catalog:
+    """A catalog saved by ``save_tables``."""
+    analysis = spark.table(f"{database}.analysis") if spark.catalog.tableExists(f"{database}.analysis") else None
+    return Catalog(*[spark.table(f"{database}.{name}") for name in TABLES], analysis)
+
+
 def broken_links(c: Catalog) -> DataFrame:
     """(what, key): keys that stand twice and links to what is not there; none in a sound catalog."""
     twice = [df.groupBy(F.col(key).alias("key")).count().where("count > 1").select(F.lit(f"{name} twice").alias("what"), "key") for name, df, key in (("file", c.file, "path"), ("artist", c.artist, "key"), ("release", c.release, "release_key"))]
