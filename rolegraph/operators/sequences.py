@@ -11,16 +11,18 @@ from rolegraph.operators.frozen import durable
 def sequence_gaps(df: DataFrame, keys: list[str], number: str, listed: int = 12) -> DataFrame:
     """(keys, present, missing, n_missing): numbers of 1..max that a group lacks, for groups that lack any.
 
-    A gap is what lies between a number and the one before it, so its cost is that of the numbers present, however large they
-    are; ``missing`` lists the first ``listed``, ``n_missing`` counts all.
+    The numbers present are collected once a group, so one shuffle does; a gap is what lies between a number and the one before
+    it, so its cost is that of the numbers present, however large they are.  ``missing`` lists the first ``listed``,
+    ``n_missing`` counts all.
     """
-    once = df.where(F.col(number).isNotNull()).select(*keys, F.col(number).cast("long").alias("_n")).distinct()
-    before = F.greatest(F.coalesce(F.lag("_n").over(Window.partitionBy(*keys).orderBy("_n")), F.lit(0)), F.lit(0))
-    gap = once.withColumn("_lack", F.greatest(F.col("_n") - 1 - before, F.lit(0))).withColumn("_from", before + 1)
-    first = F.when(F.col("_lack") > 0, F.sequence(F.col("_from"), F.col("_from") + F.least("_lack", F.lit(listed)) - 1))
-    groups = gap.groupBy(*keys).agg(F.sort_array(F.collect_set("_n")).alias("present"), F.flatten(F.collect_list(first)).alias("_all"), F.sum("_lack").alias("n_missing"))
-    lacking = groups.where("n_missing > 0").withColumn("missing", F.slice(F.array_sort("_all"), 1, listed).cast("array<int>"))
-    return lacking.select(*keys, F.col("present").cast(f"array<{df.schema[number].dataType.simpleString()}>").alias("present"), "missing", "n_missing")
+    groups = df.where(F.col(number).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_set(F.col(number).cast("long"))).alias("_all"))
+    before = lambda i: F.greatest(F.coalesce(F.get("_all", i - 1), F.lit(0)), F.lit(0))
+    gaps = F.transform("_all", lambda n, i: F.struct((before(i) + 1).alias("start"), F.greatest(n - 1 - before(i), F.lit(0)).alias("lack")))
+    lacking = groups.withColumn("_gaps", F.filter(gaps, lambda g: g["lack"] > 0)).where(F.size("_gaps") > 0)
+    some = F.flatten(F.transform(F.slice("_gaps", 1, listed), lambda g: F.sequence(g["start"], g["start"] + F.least(g["lack"], F.lit(listed)) - 1)))
+    total = F.aggregate("_gaps", F.lit(0).cast("long"), lambda x, g: x + g["lack"])
+    kind = df.schema[number].dataType.simpleString()
+    return lacking.select(*keys, F.col("_all").cast(f"array<{kind}>").alias("present"), F.slice(some, 1, listed).cast("array<int>").alias("missing"), total.alias("n_missing"))
 
 
 def tolerance_clusters(df: DataFrame, keys: list[str], value: str, tie: str, tolerance: float) -> DataFrame:

@@ -22,6 +22,7 @@ from rolegraph.functions.quality import is_hi_res
 from rolegraph.plans import analyses, catalog, doctor, export, incremental, stats
 from rolegraph.plans.maintained import Maintained
 from rolegraph.sources.listing import top_places, watched
+from rolegraph.streaming import check, waiting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -569,3 +570,32 @@ def lib_places(spark, sf_dir):
 @query("SELECT '/m' AS place UNION ALL SELECT DISTINCT folder FROM f WHERE shelf <> 'm'")
 def lib_watched(spark, sf_dir):
     return watched(scanned(spark, sf_dir).select(T.folder(F.col("path")).alias("place")), spark.createDataFrame([("/m",)], "place string"))
+
+
+@query(f""", {RECORDS} SELECT CASE WHEN outcome = 'moved' THEN path ELSE place END AS path, outcome FROM out""")
+def lib_waiting(spark, sf_dir):
+    """Records and files as streams: records come first and wait, files come later; the last word on each is that of
+    ``analyses.reconcile``."""
+    at = f"{shared_folder(spark)}/waiting-{uuid.uuid4().hex}"
+    files = scanned(spark, sf_dir).where(F.col("path").startswith("/m/")).select("path", "size", "mtime")
+    for number, events in enumerate((waiting.events(records=records(spark, sf_dir).withColumn("payload", F.lit("read"))), waiting.events(files=files))):
+        events.write.parquet(f"{at}/in/{number}")
+        stream = spark.readStream.schema(waiting.EVENT).option("recursiveFileLookup", True).parquet(f"{at}/in")
+        waiting.keep_places(stream, f"{at}/log", f"{at}/state").awaitTermination()
+    return waiting.settled(spark.read.schema(waiting.PLACED).parquet(f"{at}/log")).select("path", "outcome")
+
+
+@query("""SELECT coalesce(CASE WHEN state IS NOT NULL THEN state WHEN k % 10 <> 7 THEN CASE WHEN ms = 0 THEN 'damaged' ELSE 'intact' END END, 'not_verified') AS state, count(*) AS files FROM f GROUP BY 1""")
+def lib_checked(spark, sf_dir):
+    """A check in batches of all files without a verdict; a file in ten can't be read and stays without one."""
+    at, files = f"{shared_folder(spark)}/check-{uuid.uuid4().hex}", library(spark, sf_dir).catalog.file
+
+    def verify(batch: DataFrame) -> DataFrame:
+        lost = F.col("mtime") % 10 == 7
+        state = F.when(F.col("size") % 600000 == 0, "damaged").otherwise("intact")
+        return batch.select("path", "size", "mtime", F.when(~lost, state).alias("state"), F.lit("length").alias("method"), F.lit(None).cast("string").alias("detail"), F.lit(0).cast("long").alias("checked_at"), F.when(lost, "not readable").alias("error"))
+
+    check.enqueue(files.select("path", "size", "mtime", "integrity"), at, batch=2000)
+    check.run(spark, at, verify, 4).awaitTermination()
+    state = F.coalesce("integrity.state", F.lit("not_verified")).alias("state")
+    return check.applied(files, check.verdicts(spark, at)).groupBy(state).agg(F.count("*").alias("files"))
