@@ -36,6 +36,8 @@ _IN_COVER[list(COVER)] = True
 #: Bytes of text for each suffix that a bucket may hold, and leading bytes that choose the bucket of a suffix.
 BLOCK_SHARE = 16
 LEAD = 16
+#: Bytes of text that a worker has in hand: numpy holds about a hundred times as much beside them.
+SLICE = 1 << 19
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def shared_samples(once: DataFrame, buckets: int) -> DataFrame:
     """(key, hits): sample places whose first bytes stand at another sample place too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in slices(batches):
+        for batch, data, offs in slices(batches, most=SLICE):
             key = batch.column("key").to_numpy().view(np.uint64)
             at, row = _starts(offs, ANCHOR)
             pos = at - offs[row]
@@ -81,7 +83,7 @@ def suffixes(near: DataFrame, buckets: int, block: int, blocks: int) -> DataFram
     """(key, hits): suffixes of one bucket that tie with another for 200 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in slices(batches):
+        for batch, data, offs in slices(batches, most=SLICE):
             key = batch.column("key").to_numpy().view(np.uint64)
             asked = [np.flatnonzero(_asked(blob, int(n))) for blob, n in zip(batch.column("hits").to_pylist(), np.diff(offs), strict=True)]
             row = np.repeat(np.arange(len(asked)), [len(a) for a in asked])
