@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegraph.llm._meet import PACKED, buckets_for, meet, places, send
@@ -40,10 +40,28 @@ LEAD = 16
 SLICE = 1 << 19
 
 
-def texts(docs: DataFrame) -> DataFrame:
+def key_of(text: Column, seed: int) -> Column:
+    return F.xxhash64(text, F.lit(seed))
+
+
+def texts(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, text, key (of the text) for every row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text, F.lit(1)).alias("key"), F.octet_length(text).alias("n_bytes"))
+    return docs.select("doc_id", text.alias("text"), key_of(text, seed).alias("key"), F.octet_length(text).alias("n_bytes"))
+
+
+def named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with keys, and (key, copies, row, n_bytes) of each text.  A key has 64 bits; two texts that share one differ in a
+    second hash or in length, and then all texts are named anew by another seed."""
+    seed = 1
+    while True:
+        rows = texts(docs, seed)
+        told = F.struct(F.xxhash64(F.lit(seed), "text"), "n_bytes")
+        alike = rows.select("key", "n_bytes", F.xxhash64("doc_id", F.lit(2)).alias("row"), told.alias("told")).groupBy("key")
+        alike = durable(alike.agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.first("n_bytes").alias("n_bytes"), F.min("told").alias("low"), F.max("told").alias("high")))
+        if not alike.where("low <> high").take(1):
+            return rows, alike.drop("low", "high")
+        seed += 1
 
 
 def _starts(offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +129,10 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of each text, as bytes."""
-    docs = texts(docs)
+    docs, alike = named(docs)
     buckets = buckets_for(docs)
     total = docs.agg(F.sum("n_bytes")).first()[0] or 0
     # One row stands for texts alike; only those that have copies, and one row of each, are named.
-    alike = docs.select("key", "n_bytes", F.xxhash64("doc_id", F.lit(2)).alias("row")).groupBy("key").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.first("n_bytes").alias("n_bytes"))
-    alike = durable(alike)
     again = alike.where("copies > 1").select(F.col("key").alias("_key"), F.col("row").alias("_row"))
     once = docs.where(F.col("n_bytes") >= LENGTH).join(again, (F.col("key") == F.col("_key")) & (F.xxhash64("doc_id", F.lit(2)) != F.col("_row")), "left_anti").select("text", "key")
     ranks = durable(shared_samples(once, buckets))

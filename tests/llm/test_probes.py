@@ -114,3 +114,22 @@ def test_hot_urls(spark):
     rows = [(i, ["http://a.net/ok/x", None, f"http://h{i}.net/{i}"][i % 3]) for i in range(3000)]
     got = Counter((r["rule"], r["verdict"]) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id int, url string"), rules).collect())
     assert got == {("a.net/ok/", "allow"): 1000, (None, "allow"): 1000, ("net/", "block"): 1000}
+
+
+def test_texts_of_one_key_are_named_anew(spark, monkeypatch):
+    """Where a key is shared by different texts, others are used: nothing goes that stands once."""
+    from pyspark.sql import functions as F
+
+    plain, seeds = suffix_dedup.key_of, []
+
+    def sharing(text, seed):
+        seeds.append(seed)
+        return F.lit(5).cast("long") if seed == 1 else F.length(text).cast("long") if seed == 2 else plain(text, seed)
+
+    monkeypatch.setattr(suffix_dedup, "key_of", sharing)
+    r = random.Random(2)
+    once = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = [(1, once(300)), (2, once(300)), (3, once(400)), (4, "short"), (5, "short"), (6, None)]
+    rows.append((7, rows[2][1]))
+    assert sorted(map(tuple, suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(brute.repeats(rows))
+    assert seeds == [1, 2, 3]
