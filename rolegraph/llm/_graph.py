@@ -25,8 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         ranked = left.select(*[F.struct(F.xxhash64(c, F.lit(len(points))).alias("h"), c).alias(c) for c in ("a", "b")])
         low = F.least(F.struct(F.col("a.h"), F.col("a.a").alias("v")), F.struct(F.col("b.h"), F.col("b.b").alias("v")))
         end = F.explode(F.array(F.struct(F.col("a.a").alias("node"), low.alias("to")), F.struct(F.col("b.b").alias("node"), low.alias("to"))))
-        point = Stored(ranked.select(end.alias("e")).groupBy("e.node").agg(F.min("e.to").alias("to")).select("node", F.col("to.v").alias("root"))).read()
+        point = Stored(ranked.select(end.alias("e")).groupBy("e.node").agg(F.min("e.to").alias("to")).select("node", F.col("to.v").alias("root")))
         points.append(point)
+        point = point.read()
         ends = [loose(point.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c) for c in ("a", "b")]
         moved = left.join(ends[0], "a").join(ends[1], "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
         shorter = Stored(moved.where("a <> b").distinct())
@@ -35,10 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
         if not table.read().take(1):
             break
     table.drop()
-    roots = points[0]
+    roots = points[0].read()
     for point in points[1:]:
-        step = loose(point.select(F.col("node").alias("root"), F.col("root").alias("_next")), "root")
+        step = loose(point.read().select(F.col("node").alias("root"), F.col("root").alias("_next")), "root")
         roots = roots.join(step, "root", "left").select("node", F.coalesce("_next", "root").alias("root"))
     roots = durable(roots)
     least = loose(roots.groupBy("root").agg(F.min("node").alias("least")), "root")
-    return durable(roots.join(least, "root").select("node", F.col("least").alias("root")))
+    out = durable(roots.join(least, "root").select("node", F.col("least").alias("root")))
+    for point in points:
+        point.drop()
+    return out
