@@ -61,3 +61,13 @@ def test_shown_windows():
     for limit, offset in ((0, 0), (-1, 0), (5, -1)):
         with pytest.raises(ValueError):
             Page(limit, offset)
+
+
+def test_tables_in_one_pass(spark, tmp_path):
+    """Names, credits, labels and genres are each made from one scan of what was scanned."""
+    from tests.test_maintained import ROWS, files
+
+    files(spark, ROWS).write.parquet(f"{tmp_path}/scanned")
+    c = catalog.build(spark.read.parquet(f"{tmp_path}/scanned"))
+    for name in ("file", "artist", "credit", "label", "genre", "genre_link"):
+        assert getattr(c, name)._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1, name
