@@ -133,3 +133,20 @@ def test_texts_of_one_key_are_named_anew(spark, monkeypatch):
     rows.append((7, rows[2][1]))
     assert sorted(map(tuple, suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(brute.repeats(rows))
     assert seeds == [1, 2, 3]
+
+
+@pytest.mark.parametrize("block", [1, 7])
+def test_pairs_of_blocks(spark, monkeypatch, block):
+    """Components cut into many blocks have the links, and the numbers of links, of a comparison of all pairs."""
+    r, rows = random.Random(9), []
+    for _ in range(3):
+        base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        for _ in range(30):
+            near = list(base)
+            for _ in range(r.randint(0, 6)):
+                near[r.randrange(120)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(near)))
+    rows += [(len(rows) + i, rows[5][1]) for i in range(10)]
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard(rows)
