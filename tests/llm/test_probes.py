@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rolegraph.llm import _text, decontamination, jaccard_join, mixing, secrets, substring_dedup, suffix_dedup, urls
@@ -150,3 +151,29 @@ def test_pairs_of_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.jaccard(rows)
+
+
+def test_memory_of_two_blocks(spark, monkeypatch):
+    """Two blocks of long sets are compared in about the memory of the sets, with the links that counting one by one gives."""
+    import tracemalloc
+
+    caught, r, n = [], np.random.default_rng(3), 40
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInArrow", lambda self, f, schema: caught.append(f))
+    docs = spark.createDataFrame([], "id long, hash long, text string")
+    jaccard_join.compare(docs, spark.createDataFrame([], "id long, hash long, code long, copies long, part long, block int, blocks int"))
+    base, sets = r.integers(0, 1 << 63, 50_000).astype(np.uint64), []
+    for i in range(n):
+        s = base.copy()
+        s[r.permutation(len(s))[: 600 * i]] = r.integers(0, 1 << 63, 600 * i).astype(np.uint64)
+        sets.append(np.unique(s) * np.uint64(2))
+    link = lambda a, b: 175 * len(np.intersect1d(a, b)) >= 75 * (len(a) + len(b))
+    rows = [(0, 0, 1, i % 2, i, i + 1, s.tobytes()) for i, s in enumerate(sets)]
+    kinds = {"part": pa.int64(), "x": pa.int32(), "y": pa.int32(), "block": pa.int32(), "code": pa.int64(), "copies": pa.int64(), "shingles": pa.binary()}
+    table = pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+    tracemalloc.start()
+    got = caught[0](table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {i: sum(j + 1 for j in range(n) if (i + j) % 2 and link(sets[i], sets[j])) for i in range(n)}
+    assert {x["a"]: x["links"] for x in got.to_pylist() if x["a"] == x["b"]} == {i: k for i, k in want.items() if k}
+    assert 0 < len([k for k in want.values() if k]) and peak < 4 * sum(map(len, sets)) * 8
