@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -363,12 +361,12 @@ class Library:
         c = self.catalog
         old = records.where(F.lit(False)) if c.analysis is None else c.analysis
         merged = analyses.merge(old, records, c.file.select("path", "size", "mtime"))
-        return Library(replace(c, analysis=analyses.reconcile(merged, c.file.select("path", "size", "mtime"))))
+        return Library(c.changed(analysis=analyses.reconcile(merged, c.file.select("path", "size", "mtime"))))
 
     def forget(self, source: str | None = None) -> "Library":
         """The library without the analyses of a source, or of all."""
         c = self.catalog
-        return self if c.analysis is None else Library(replace(c, analysis=analyses.forget(c.analysis, source)))
+        return self if c.analysis is None else Library(c.changed(analysis=analyses.forget(c.analysis, source)))
 
     def export(self, what: str = "albums") -> DataFrame:
         rows = {"albums": export.album_rows, "tracks": export.track_rows}

@@ -24,19 +24,27 @@ TO = "".join(k * len(v) for k, v in FOLDS.items())
 
 
 def fold(x: Column) -> Column:
-    """Lower-cased ``x`` without the diacritics of the table above."""
-    out = F.translate(F.lower(x), FROM, TO)
-    for a, b in DOUBLE_FOLDS.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Lower-cased ``x`` without the diacritics of the table above; text of one byte a character holds none.
+
+    The rare case stands in a lambda: generated code that holds it in full grows beyond what the JVM compiles.
+    """
+    def full(s: Column) -> Column:
+        out = F.translate(F.lower(s), FROM, TO)
+        for a, b in DOUBLE_FOLDS.items():
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.get(F.transform(F.array(x), full), F.lit(0)))
 
 
 def normalize(x: Column) -> Column:
-    """Matching key: folded, one space for each run of other characters, less one article, at the end or else in front."""
+    """Matching key: folded, one space for each run of other characters, less one article, at the end or else in front.
+
+    Each step is named once: inside lambdas Spark evaluates an expression as often as it is written.
+    """
     plain = F.trim(F.regexp_replace(fold(F.trim(x)), r"[^\p{IsAlphabetic}\p{N}]+", " "))
     names = "|".join(ARTICLES)
-    cut = F.regexp_replace(plain, rf"^(.+) (?:{names})$", "$1")
-    return F.when(cut != plain, cut).otherwise(F.regexp_replace(plain, rf"^(?:{names}) (.+)$", "$1"))
+    return F.regexp_replace(plain, rf" (?:{names})$|^(?=(?:{names}) )(?!.+ (?:{names})$)(?:{names}) ", "")
 
 
 def is_placeholder(x: Column) -> Column:
@@ -48,15 +56,32 @@ def sort_name(x: Column) -> Column:
     return F.regexp_replace(x, rf"(?is)^({'|'.join(ARTICLES)}) \s*(.*?)\s*$", "$2, $1")
 
 
+#: What parts a field into names, and what stands at the ends of a name that is not clean.
+_GUESTS = "|".join(m.replace(".", r"\.") for m in sorted(GUEST_MARKS, key=len, reverse=True))
+_PARTED = rf";|//| (?:/|{_GUESTS}) "
+_UNCLEAN = "(?:^|\u0001)(?:[ ,\\-\u0001]|$)|[ ,\\-]\u0001|[ ,\\-]$"
+
+
 def split_names(x: Column) -> Column:
     """Names in one field: split at separators, then once at the first guest mark, trimmed, each once."""
-    marks = "|".join(m.replace(".", r"\.") for m in sorted(GUEST_MARKS, key=len, reverse=True))
     parts = F.split(F.trim(x), r";| / |//")
-    guests = F.transform(parts, lambda p: F.split(p, rf"(?i) (?:{marks}) ", 2))
-    clean = F.transform(F.flatten(guests), lambda p: F.trim(F.regexp_replace(F.trim(p), r"^[,\-]+|[,\-]+$", "")))
+    guests = F.transform(parts, lambda p: F.split(p, rf"(?i) (?:{_GUESTS}) ", 2))
+    clean = F.transform(F.flatten(guests), lambda p: F.trim(F.btrim(F.trim(p), F.lit(",-"))))
     return F.array_distinct(F.filter(clean, lambda p: p != ""))
 
 
+def names_of(values: Column) -> Column:
+    """The names in all values of a field.  Values that are clean names stay as they are, which one look at all of them tells."""
+    told = F.array_join(values, "\u0001", ";")  # a missing value is no clean name
+    return F.when(told.rlike(f"(?i){_PARTED}|{_UNCLEAN}"), F.flatten(F.transform(values, split_names))).otherwise(values)
+
+
+def maybe_placeholder(names: Column) -> Column:
+    """False only if none of the names can be a placeholder: plain letters that hold no beginning of one."""
+    told = F.array_join(names, " ", ";")
+    return (F.octet_length(told) != F.char_length(told)) | told.rlike("(?i)va|div|art|mult")
+
+
 def extract_year(x: Column) -> Column:
     """The first four digits that make a year of 1500 to 2200."""
     return F.nullif(F.regexp_extract(x, r"(1[5-9]\d\d|2[01]\d\d|2200)", 1), F.lit("")).try_cast("int")

@@ -6,6 +6,8 @@ Entities are joined on natural keys (path, matching key, release key); dense ids
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -39,7 +41,7 @@ def first(tag: str) -> Column:
 
 def names_in(tag: str) -> Column:
     """The names in all values of a field."""
-    return F.flatten(F.transform(values(tag), T.split_names))
+    return T.names_of(values(tag))
 
 
 @dataclass
@@ -58,6 +60,12 @@ class Catalog:
     release_relation: DataFrame
     analysis: DataFrame | None = field(default=None)
 
+    def changed(self, **tables: DataFrame | None) -> Catalog:
+        """This catalog with other tables in place of some; the rest are not touched."""
+        out = copy(self)
+        vars(out).update(tables)
+        return out
+
 
 def build(scanned: DataFrame) -> Catalog:
     """Entities and their links from scanned files (schema ``SCANNED``), paths being unique.
@@ -79,8 +87,10 @@ def derived(scanned: DataFrame) -> DataFrame:
     files = (
         scanned.withColumns({"artists": names_in("artist"), "album_artists": names_in("albumartist")})
         .withColumn("folder", T.folder(F.col("path")))
-        .withColumn("is_compilation", first("compilation").isNotNull() | F.exists("album_artists", T.is_placeholder))
-        .withColumn("album_artists", F.filter("album_artists", lambda n: ~T.is_placeholder(n)))
+        .withColumn("_odd", T.maybe_placeholder(F.col("album_artists")))
+        .withColumn("is_compilation", first("compilation").isNotNull() | (F.col("_odd") & F.exists("album_artists", T.is_placeholder)))
+        .withColumn("album_artists", F.when(F.col("_odd"), F.filter("album_artists", lambda n: ~T.is_placeholder(n))).otherwise(F.col("album_artists")))
+        .drop("_odd")
     )
     owner = T.normalize(F.coalesce(F.get("album_artists", F.lit(0)), F.get("artists", F.lit(0)), F.lit("")))
     number, disc = (T.number_of_total(first(t))[0] for t in ("tracknumber", "discnumber"))
@@ -100,13 +110,14 @@ def derived(scanned: DataFrame) -> DataFrame:
 
 def mentions(files: DataFrame) -> DataFrame:
     """A row for each name in a field that names people, of all fields at once, so that files are read once."""
-    def of(rank: int, tag: str) -> Column:
-        column = {"artist": F.col("artists"), "albumartist": F.col("album_artists")}.get(tag, names_in(tag))
-        return F.transform(column, lambda name, place: F.struct(F.lit(rank).alias("rank"), F.lit(tag).alias("tag"), place.alias("place"), name.alias("name")))
-
-    every = F.concat(*[of(rank, tag) for rank, tag in enumerate(("artist", "albumartist", *ROLE_FIELDS))])
-    named = files.select("path", "release_key", "is_compilation", first("musicbrainz_artistid").alias("given"), F.explode(every).alias("m"))
-    return named.select("path", "release_key", "is_compilation", "given", "m.rank", "m.tag", "m.place", "m.name", T.normalize(F.col("m.name")).alias("key"))
+    fields = ("artist", "albumartist", *ROLE_FIELDS)
+    tag = F.col("tag")
+    of = ("path", "release_key", "is_compilation")
+    held = files.select(*of, first("musicbrainz_artistid").alias("given"), "artists", "album_artists", F.explode("tags").alias("tag", "values")).where(tag.isin(*fields))
+    names = F.when(tag == "artist", F.col("artists")).when(tag == "albumartist", F.col("album_artists")).otherwise(T.names_of(F.col("values")))
+    rank = (F.array_position(F.array(*[F.lit(x) for x in fields]), tag) - 1).cast("int").alias("rank")
+    named = held.select(*of, "given", rank, "tag", F.posexplode(names).alias("place", "name"))
+    return named.select("*", T.normalize(F.col("name")).alias("key"))
 
 
 _SEEN = ("path", "rank", "place")
@@ -164,15 +175,18 @@ def releases(files: DataFrame) -> DataFrame:
     dated = files.where("release_key is not null").withColumns({"raw": F.nullif(raw, F.lit("")), "mb": first("musicbrainz_albumid"), "number": first("catalognumber")}).withColumn("year", T.extract_year(F.col("raw")))
     keep = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("path"))).alias(c)
     order = F.struct(F.coalesce("disc_no", F.lit(1)).alias("disc"), F.coalesce("track_no", F.lit((1 << 31) - 1)).alias("no"), F.col("title").alias("title"), F.col("path").alias("path"))
-    once = lambda tag: F.min_by(first(tag), "path")
-    out = dated.groupBy("release_key").agg(
-        F.min_by("release_title", "path").alias("title"), F.min_by("owner_key", "path").alias("owner_key"), F.min_by("is_compilation", "path").alias("is_compilation"), F.min_by("folder", "path").alias("folder"),
-        once("barcode").alias("barcode"), once("media").alias("media"), once("musicbrainz_releasegroupid").alias("release_group_mbid"),
-        keep("folder_cover"), F.min_by("number", F.when(F.col("number").isNotNull(), F.col("path"))).alias("catalog_number"), F.min_by("mb", F.when(F.col("mb").isNotNull(), F.col("path"))).alias("mbid"),
+    # a release has few tracks: nothing is saved by a count before the exchange
+    of_first = F.struct("release_title", "owner_key", "is_compilation", "folder", *[first(tag).alias(name) for tag, name in (("barcode", "barcode"), ("media", "media"), ("musicbrainz_releasegroupid", "release_group_mbid"))])
+    given = dated.select("release_key", "path", "folder_cover", "number", "mb", "raw", "year", of_first.alias("of"), order.alias("order")).repartition("release_key")
+    out = given.groupBy("release_key").agg(
+        F.min_by("of", "path").alias("of"), keep("folder_cover"), F.min_by("number", F.when(F.col("number").isNotNull(), F.col("path"))).alias("catalog_number"), F.min_by("mb", F.when(F.col("mb").isNotNull(), F.col("path"))).alias("mbid"),
         F.min("year").alias("year"), F.min_by("raw", F.when(F.col("year").isNotNull(), F.struct("year", "path"))).alias("_dated"), F.max_by("raw", F.when(F.col("raw").isNotNull(), F.col("path"))).alias("_last"),
-        F.transform(F.array_sort(F.collect_list(order)), lambda x: x["path"]).alias("track_paths"), F.min("path").alias("seen"),
+        F.transform(F.array_sort(F.collect_list("order")), lambda x: x["path"]).alias("track_paths"), F.min("path").alias("seen"),
+    )
+    out = out.select(
+        "release_key", F.col("of.release_title").alias("title"), *[F.col(f"of.{c}").alias(c) for c in ("owner_key", "is_compilation", "folder", "barcode", "media", "release_group_mbid")],
+        "folder_cover", "catalog_number", "mbid", "year", "track_paths", "seen", F.coalesce("_dated", "_last").alias("date"), T.normalize(F.col("of.release_title")).alias("key"),
     )
-    out = out.withColumns({"date": F.coalesce("_dated", "_last"), "key": T.normalize(F.col("title"))}).drop("_dated", "_last")
     label_of = label_mentions(files).groupBy("release_key", "key").agg(F.min("seen").alias("seen")).groupBy("release_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "key"))), lambda x: x["key"]).alias("label_keys"))
     return out.join(label_of, "release_key", "left")
 
@@ -225,6 +239,39 @@ def kept(c: Catalog, folder: str) -> Catalog:
     return load(c.file.sparkSession, folder)
 
 
+class OnDemand(Catalog):
+    """A catalog whose tables are made when they are asked for first, and saved below ``folder`` from then on."""
+
+    def __init__(self, make: Callable[[OnDemand, str], DataFrame], folder: str) -> None:
+        self._make, self._folder, self._made = make, folder, {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        """A table that no one has put in place."""
+        if name not in TABLES:
+            raise AttributeError(name)
+        if name not in self._made:
+            df = self._make(self, name)
+            df.write.parquet(f"{self._folder}/{name}")
+            self._made[name] = df.sparkSession.read.schema(df.schema).parquet(f"{self._folder}/{name}")
+        return self._made[name]
+
+
+def on_demand(scanned: DataFrame, folder: str) -> Catalog:
+    """The catalog of ``build``, table by table: the source is read once, for files, and the others are made from saved ones."""
+    makers: dict[str, Callable[[Catalog], DataFrame]] = {
+        "file": lambda c: derived(scanned),
+        "artist": lambda c: artists(mentions(c.file)),
+        "release": lambda c: releases(c.file),
+        "label": lambda c: first_spelling(label_mentions(c.file)),
+        "genre": lambda c: first_spelling(genre_mentions(c.file)),
+        "credit": lambda c: credits(mentions(c.file)),
+        "genre_link": lambda c: genre_links(genre_mentions(c.file)),
+        "collaboration": lambda c: graph.cooccurrence(plays(c.credit), "entity_key", "artist_key"),
+        "release_relation": lambda c: relations(release_lists(c.file, c.release)).select("source", "target", "kind"),
+    }
+    return OnDemand(lambda c, name: makers[name](c), folder)
+
+
 #: The key by which a keyed table is dealt: joins on it need no exchange.
 KEYED = {"file": "release_key", "artist": "key", "release": "release_key", "label": "key", "genre": "key", "credit": "artist_key", "genre_link": "genre_key", "collaboration": "source", "release_relation": "source"}
 #: What columns of few values may hold.

@@ -19,19 +19,33 @@ def counts(c: Catalog) -> DataFrame:
     return measures.one_row(of_files, of_releases, n(c.artist, "artists"), n(c.label, "labels"), n(c.genre, "genres"))
 
 
-def buckets(c: Catalog) -> dict[str, DataFrame]:
+def codecs(c: Catalog) -> DataFrame:
+    codec = F.col("properties.codec")
+    return measures.buckets(c.file, F.when(F.coalesce(codec, F.lit("")) == "", "unknown").otherwise(F.upper(codec)), "size")
+
+
+def tiers(c: Catalog) -> DataFrame:
     p = F.col("properties")
-    codec = F.when(F.coalesce(p["codec"], F.lit("")) == "", "unknown").otherwise(F.upper(p["codec"]))
-    tier = quality_tier(F.coalesce(p["codec"], F.lit("")), p["lossless"], p["bit_depth"], p["sample_rate"], p["bitrate_kbps"])
-    rates = c.file.where(p["sample_rate"].isNotNull())
+    return measures.buckets(c.file, quality_tier(F.coalesce(p["codec"], F.lit("")), p["lossless"], p["bit_depth"], p["sample_rate"], p["bitrate_kbps"]), "size")
+
+
+def rates(c: Catalog) -> DataFrame:
+    hz = F.col("properties.sample_rate")
+    per = c.file.where(hz.isNotNull()).groupBy(hz.alias("hz")).agg(F.count("*").alias("count"), F.sum("size").alias("bytes"))
+    return per.orderBy("hz").select(format_rate(F.col("hz")).alias("label"), "count", "bytes")
+
+
+def decades(c: Catalog) -> DataFrame:
     sizes = c.file.where("release_key is not null").groupBy("release_key").agg(F.sum("size").alias("bytes_of"))
-    dated = c.release.join(sizes, "release_key", "left")
-    return {
-        "codec": measures.buckets(c.file, codec, "size"),
-        "quality": measures.buckets(c.file, tier, "size"),
-        "rate": rates.groupBy(p["sample_rate"].alias("hz")).agg(F.count("*").alias("count"), F.sum("size").alias("bytes")).orderBy("hz").select(format_rate(F.col("hz")).alias("label"), "count", "bytes"),
-        "decade": measures.buckets(dated, measures.decade(F.col("year")), "bytes_of").orderBy("label"),
-    }
+    return measures.buckets(c.release.join(sizes, "release_key", "left"), measures.decade(F.col("year")), "bytes_of").orderBy("label")
+
+
+#: Each is made from the tables that it needs alone.
+BUCKETS = {"codec": codecs, "quality": tiers, "rate": rates, "decade": decades}
+
+
+def buckets(c: Catalog) -> dict[str, DataFrame]:
+    return {name: of(c) for name, of in BUCKETS.items()}
 
 
 def completeness(c: Catalog) -> DataFrame:
