@@ -1,5 +1,6 @@
 """Questions make the tables that they need alone; fast ways to keys and names give what the plain ones give."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolegraph.functions import text as T
@@ -43,3 +44,13 @@ def test_keys_and_names_as_in_the_plain_way(spark):
         (T.maybe_placeholder(F.col("v")) | ~F.coalesce(F.exists("v", T.is_placeholder), F.lit(False))).alias("placeholder"),
     )
     assert got.where("not key or not names or not coalesce(placeholder, v is null)").select("v").limit(5).collect() == []
+
+
+#: Questions of few columns, asked in one pass or two: no catalog is saved for them.
+UNREAD = ["lib_album_tracks"]
+
+
+@pytest.mark.parametrize("name", UNREAD)
+def test_nothing_is_saved_for_a_question_of_one_pass(spark, monkeypatch, name):
+    monkeypatch.setattr(shelf, "library", None)
+    assert shelf.QUERIES[name](spark, SF).columns
