@@ -243,14 +243,15 @@ class OnDemand(Catalog):
     """A catalog whose tables are made when they are asked for first, and saved below ``folder`` from then on."""
 
     def __init__(self, make: Callable[[OnDemand, str], DataFrame], folder: str) -> None:
-        self._make, self._folder, self._made = make, folder, {}
+        # a changed copy makes what it lacks from this one's tables, not from those put in their place
+        self._whole, self._make, self._folder, self._made = self, make, folder, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         """A table that no one has put in place."""
         if name not in TABLES:
             raise AttributeError(name)
         if name not in self._made:
-            df = self._make(self, name)
+            df = self._make(self._whole, name)
             df.write.parquet(f"{self._folder}/{name}")
             self._made[name] = df.sparkSession.read.schema(df.schema).parquet(f"{self._folder}/{name}")
         return self._made[name]

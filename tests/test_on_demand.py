@@ -20,6 +20,7 @@ def test_tables_are_made_when_asked_for(spark, tmp_path):
     assert c.genre.count() == 5 and sorted(p.name for p in (tmp_path / "c").iterdir()) == ["file", "genre"]
     other = c.changed(label=c.genre)
     assert other.label.count() == 5 and other.genre is c.genre and not (tmp_path / "c" / "label").exists()
+    assert c.changed(file=c.file.limit(0)).label.count() == 5  # of the whole catalog's files
 
 
 def plain_key(x):
